@@ -13,7 +13,7 @@ from plumbline.llm import tokens
 #: Public vocabulary files; a parameter of everything that encodes.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual pattern of these vocabularies: contractions, words, numbers, marks, white space.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _LOADED: dict[str, Encoder] = {}
 
