@@ -21,7 +21,7 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """A vocabulary with a cache from a segment's hash to its ids."""
 
-    def __init__(self, path: str, cache_segments: int = 1_500_000) -> None:
+    def __init__(self, path: str, cache_segments: int = 800_000) -> None:
         import tiktoken
 
         with open(path, "rb") as f:

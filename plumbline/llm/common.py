@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of texts.
+TEXT_BATCH_ROWS = 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def map_text(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow``, in batches of at most ``TEXT_BATCH_ROWS`` rows, as texts are wide and a worker's memory is small.
+
+    The limit is a session setting; it is only ever lowered.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_BATCH_ROWS:
+        conf.set(name, str(TEXT_BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of a document row that also tells apart rows of one id, and rows without an id."""
     return F.xxhash64(F.lit("row"), F.col(doc_id), F.coalesce(F.col(text), F.lit("\0null")))

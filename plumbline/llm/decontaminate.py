@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
-from plumbline.llm.common import broadcast_if_small, materialize
+from plumbline.llm.common import broadcast_if_small, map_text, materialize
 
 #: Any run of 11 agreeing words has every mask; one replaced word in 13 leaves at least one hit.
 MASKS = ("11111111", "1101100101101", "111010010100110111")
@@ -170,10 +170,10 @@ def contaminated(
     schema = "key long, id long, words array<long>, hashes array<long>, at array<long>"
     key = lambda c: F.xxhash64(F.lit("row"), F.col(c), F.coalesce(F.col("text"), F.lit("\0null")))
     part = lambda d, c: d.select(key(c).alias("key"), F.col(c).cast("long").alias("id"), F.lower("text").alias("text")).where("text <> ''")
-    items = materialize(part(benchmark, "item_id").mapInArrow(_benchmark_batches(masks), schema), "items")
+    items = materialize(map_text(part(benchmark, "item_id"), _benchmark_batches(masks), schema), "items")
     seeds = materialize(items.select("key", F.explode(F.arrays_zip("hashes", "at")).alias("s")).select(F.col("key").alias("item"), F.col("s.hashes").alias("hash"), F.col("s.at").alias("item_at")), "seeds")
     bloom = spark.sparkContext.broadcast(_bloom(seeds, max_bloom_bytes))
-    found = materialize(part(docs, "doc_id").mapInArrow(_corpus_batches(masks, bloom), schema), "candidates").dropDuplicates(["key"])
+    found = materialize(map_text(part(docs, "doc_id"), _corpus_batches(masks, bloom), schema), "candidates").dropDuplicates(["key"])
     hits = (
         found.select("key", F.explode(F.arrays_zip("hashes", "at")).alias("s"))
         .select("key", F.col("s.hashes").alias("hash"), F.col("s.at").alias("doc_at"))
@@ -187,7 +187,7 @@ def contaminated(
         .join(entries, "item")
         .select("doc_id", "item_id", "doc_words", "item_words", "diagonal")
     )
-    verified = pairs.mapInArrow(_verify_batches(min_words, min_share), "doc_id long, item_id long, first_word long, n_words long, n_same long, item_words long")
+    verified = map_text(pairs, _verify_batches(min_words, min_share), "doc_id long, item_id long, first_word long, n_words long, n_same long, item_words long")
     best = F.max(F.struct("n_same", (-F.col("n_words")).alias("n"), (-F.col("first_word")).alias("f"), "item_words"))
     return (
         verified.groupBy("doc_id", "item_id")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
-from plumbline.llm.common import broadcast_if_small, materialize
+from plumbline.llm.common import broadcast_if_small, map_text, materialize
 
 ORDER, QUANTILE, SLACK, TABLE_LIMIT = 5, 0.995, 1.15, 8_000_000
 SYMBOLS, WIDTH = 128, 7
@@ -98,10 +98,10 @@ def _count_batches(order: int):
                 distinct = marked[at]
                 parts.append((distinct >> 1, np.where(distinct & 1, n, 0)))
                 held += len(at)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 parts = [_merge(parts)]
                 held = len(parts[0][0])
-                if held > 3_000_000:
+                if held > 700_000:
                     yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1].astype(np.int64))], names=["g", "c"])
                     parts, held = [], 0
         if parts:
@@ -187,17 +187,17 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, table_limit: i
     marked = docs.select("doc_id", "lang", "text").join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("_trusted"), "left")
     marked = marked.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), "text")
     counts = materialize(
-        marked.select("text", "trusted").mapInArrow(_count_batches(order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngrams"
+        map_text(marked.select("text", "trusted"), _count_batches(order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngrams"
     )
     table = probabilities(counts, order).select("g", (-F.log("p")).cast("float").alias("cost"))
     size = table.count()
     if size <= table_limit:
         local = table.toArrow()
         shared = spark.sparkContext.broadcast((local.column(0).to_numpy().view(np.uint64), local.column(1).to_numpy()))
-        scored = marked.mapInArrow(_score_batches(order, shared), "row long, doc_id long, lang string, trusted boolean, cost double, n_chars long")
+        scored = map_text(marked, _score_batches(order, shared), "row long, doc_id long, lang string, trusted boolean, cost double, n_chars long")
     else:
         distinct = marked.dropDuplicates(["row"]).select("row", "text")
-        sums = distinct.mapInArrow(_doc_ngram_batches(order), "row long, g long, n long").join(table, "g").groupBy("row").agg(F.sum(F.col("cost") * F.col("n")).alias("cost"))
+        sums = map_text(distinct, _doc_ngram_batches(order), "row long, g long, n long").join(table, "g").groupBy("row").agg(F.sum(F.col("cost") * F.col("n")).alias("cost"))
         scored = marked.select("row", "doc_id", "lang", "trusted", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).join(sums, "row", "left")
     return materialize(
         scored.select("row", "doc_id", "lang", "trusted", "n_chars", F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars"))).alias("perplexity")), "scores"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import tokens
-from plumbline.llm.common import broadcast_if_small, materialize
+from plumbline.llm.common import broadcast_if_small, map_text, materialize
 
 BANDS, ROWS, SHINGLE, BITS, THRESHOLD = 40, 6, 2, 512, 0.62
 
@@ -221,7 +221,7 @@ def near_duplicates(
     """Members of groups of near-duplicates: ``doc_id``, and ``group_id``, the smallest doc_id of the group (see the module)."""
     limit = most_bits(threshold, bits, bands * rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    sig = materialize(text.mapInArrow(_signature_batches(bands, rows, shingle, bits), _SIGNATURE), "signatures")
+    sig = materialize(map_text(text, _signature_batches(bands, rows, shingle, bits), _SIGNATURE), "signatures")
     # equal signatures: one node
     nodes = materialize(
         sig.groupBy("sig").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("n")).select("sig", F.col("n.doc_id").alias("node"), "n.bands", "n.sketch"),
@@ -244,7 +244,7 @@ def near_duplicates(
         .agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
         .select("members")
     )
-    edges = lists.mapInArrow(_forest_batches(limit), "a long, b long")
+    edges = map_text(lists, _forest_batches(limit), "a long, b long")
     found = components(edges.unionByName(copies))
     sizes = found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
     return sizes

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import VOCABULARY, encoder, text_groups
-from plumbline.llm.common import materialize
+from plumbline.llm.common import map_text, materialize
 
 LENGTH, OPEN_BINS, STREAM_TOKENS = 2048, 256, 1 << 25
 
@@ -81,7 +81,7 @@ def _count_batches(vocabulary: str):
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: ``key`` (of id and text), ``doc_id`` and ``n``, its number of tokens, materialized."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(_count_batches(vocabulary), "key long, doc_id long, n long"), "token-counts")
+    return materialize(map_text(rows, _count_batches(vocabulary), "key long, doc_id long, n long"), "token-counts")
 
 
 def _pack_batches(length: int, open_bins: int):

@@ -145,7 +145,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class HashTable:
-    """An open-addressing table from 64-bit hashes to int64 values that is filled and read with whole arrays."""
+    """An open-addressing table from 64-bit hashes to int32 values that is filled and read with whole arrays."""
 
     def __init__(self, bits: int = 16) -> None:
         self._allocate(bits)
@@ -153,28 +153,35 @@ class HashTable:
     def _allocate(self, bits: int) -> None:
         self.bits, self.size = bits, 0
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.values = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.full(1 << bits, -1, dtype=np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _next(self, slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The next slots to try, an odd step away that depends on the key."""
+        step = (keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(65 - self.bits)).astype(np.int64) << 1 | 1
+        return (slots + step) & (len(self.keys) - 1)
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Their values; -1 where absent."""
         slot = self._slots(keys)
         out = self.values[slot]
         todo = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        slot, wanted = slot[todo], keys[todo]
         while len(todo):
-            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
-            value = self.values[slot[todo]]
+            slot = self._next(slot, wanted)
+            value = self.values[slot]
             out[todo] = value
-            todo = todo[(self.keys[slot[todo]] != keys[todo]) & (value >= 0)]
+            more = (self.keys[slot] != wanted) & (value >= 0)
+            todo, slot, wanted = todo[more], slot[more], wanted[more]
         return out
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """New distinct keys, with values of at least 0."""
         if (self.size + len(keys)) * 2 > len(self.keys):
             old, kept = self.keys[self.values >= 0], self.values[self.values >= 0]
-            self._allocate(max(self.bits + 1, int((len(old) + len(keys)) * 4).bit_length()))
+            self._allocate(max(self.bits, int((len(old) + len(keys)) * 2).bit_length()))
             if len(old):
                 self.add(old, kept)
         slot, todo = self._slots(keys), np.arange(len(keys))
@@ -186,5 +193,5 @@ class HashTable:
             # of several keys that fell on one free slot the last has it
             done = free & (self.keys[at] == keys[todo])
             todo = todo[~done]
-            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            slot[todo] = self._next(slot[todo], keys[todo])
         self.size += len(keys)
