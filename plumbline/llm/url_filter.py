@@ -99,10 +99,10 @@ spans AS (SELECT *, lead(listed_at) OVER (PARTITION BY kind, value, category ORD
 capture AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched_at,
     regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
-    list_filter(string_split(regexp_extract(lower(url), '://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '') AS parts FROM pages
+    list_filter(string_split(regexp_extract(lower(url), '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages
 ), k AS (
-  SELECT page_id, url, fetched_at, 'domain' AS kind, unnest(list_transform(range(1, greatest(len(string_split(host, '.')), 2)), i -> array_to_string(string_split(host, '.')[i:], '.'))) AS value FROM capture
-  UNION ALL SELECT page_id, url, fetched_at, 'prefix', unnest(list_transform(range(1, len(parts) + 1), i -> host || '/' || array_to_string(parts[:i], '/'))) FROM capture
+  SELECT page_id, url, fetched_at, 'domain' AS kind, unnest(list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS value FROM capture
+  UNION ALL SELECT page_id, url, fetched_at, 'prefix', unnest(list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[:i], '/'))) FROM capture
 ), hit AS (
   SELECT page_id, url, k.kind, k.value, category, listed_at,
     row_number() OVER (PARTITION BY page_id, url ORDER BY length(k.value) DESC, k.kind DESC, k.value DESC, category DESC, listed_at DESC) AS r
