@@ -29,7 +29,7 @@ def jaro_winkler(a: str, b: str, p: float = 0.1) -> float:
     if not k:
         return 0.0
     right = [b[j] for j in range(m) if used[j]]
-    t = sum(x != y for x, y in zip(left, right)) / 2
+    t = sum(x != y for x, y in zip(left, right)) // 2
     jaro = (k / n + k / m + (k - t) / k) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import encoding, missing, text, types_dates
 from plumbline.operators.profile import Profile
@@ -101,7 +102,7 @@ def plan_cleaning(profile: Profile) -> CleaningPlan:
     return CleaningPlan(sorted(actions, key=lambda a: (a.order, a.column or "", a.strategy)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
