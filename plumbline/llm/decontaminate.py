@@ -2,9 +2,9 @@
 
 A mask such as 1101100101 covers a window of words and ignores those under 0. Hashes of the selected words of each
 window of benchmark and corpus are joined, so a passage is found although words in it were replaced. Around each
-hit, document and item are laid side by side on the hit's diagonal, and the best-scoring stretch (a word that
-agrees +1, one that differs -2) is taken; a document is contaminated by an item if the stretch has at least
-``min_words`` words (all of a shorter item) of which ``min_share`` agree.
+hit, document and item are laid side by side on the hit's diagonal; the document is contaminated by the item if
+there is any stretch of at least ``min_words`` words (all of a shorter item) of which ``min_share`` agree. Whether
+there is one is decided exactly, by the running minimum of one running sum.
 
 The corpus side is filtered, before the join, by a Bloom filter of the benchmark's hashes whose size is fixed by
 their counted number (at most ``max_bloom_bytes``, beyond which only more rows pass on to the join). Documents
@@ -132,15 +132,21 @@ def _per_text(batch: pa.RecordBatch, i: int, j: int, hashes: np.ndarray, before:
     )
 
 
-def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int, penalty: int = 2) -> tuple[int, int, int]:
-    """The best-scoring stretch with doc[k] beside item[k - diagonal]: the first word in doc, its length, and how many words agree."""
+def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int, min_share: float) -> tuple[int, int, int] | None:
+    """The stretch with doc[k] beside item[k - diagonal] that exceeds ``min_share`` by most words: its first word in doc, its length, and how many words agree; None if none of ``min_words`` reaches the share."""
     low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
+    least = min(min_words, len(item))
+    if high - low < least:
+        return None
     same = doc[low:high] == item[low - diagonal : high - diagonal]
-    sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -penalty))))
-    lowest = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lowest))
-    start = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1])
-    return low + start, end - start, int(same[start:end].sum())
+    sums = np.concatenate(([0.0], np.cumsum(same - min_share)))
+    lowest = np.minimum.accumulate(sums)[: len(sums) - least]
+    gain = sums[least:] - lowest
+    end = int(np.argmax(gain))
+    if gain[end] < -1e-9:
+        return None
+    start = int(np.flatnonzero(sums[: end + 1] == lowest[end])[0])
+    return low + start, end + least - start, int(same[start : end + least].sum())
 
 
 def _verify_batches(min_words: int, min_share: float):
@@ -150,9 +156,9 @@ def _verify_batches(min_words: int, min_share: float):
             rows = []
             for k, diagonal in enumerate(batch.column(4).to_pylist()):
                 d, t = doc[k].values.to_numpy(), item[k].values.to_numpy()
-                start, length, same = best_stretch(d, t, diagonal)
-                if length >= min(min_words, len(t)) and same >= min_share * length:
-                    rows.append((k, start, length, same, len(t)))
+                found = best_stretch(d, t, diagonal, min_words, min_share)
+                if found:
+                    rows.append((k, *found, len(t)))
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3, 4))],

@@ -9,12 +9,15 @@ order by order, from single symbols up. Unseen n-grams are resolved the same way
 mass. A second pass looks each position of each text up and gives perplexities. The looked-up table is broadcast
 if its counted size fits ``table_limit``; beyond that, n-grams are joined to it by shards.
 
-A document is kept if its perplexity is at most the ``quantile`` of its language's trusted documents times
-``slack``. All trusted documents are counted: nothing is sampled.
+Trusted documents are halved by a hash of their id, and a model is trained on each half; every document is scored
+by the model of the half that it doesn't belong to. So trusted documents' perplexities are those of unseen text, and
+a limit drawn from them holds for new documents however small the corpus is. A document is kept if its perplexity is
+at most the ``quantile`` of its language's trusted documents times ``slack``. All trusted documents are counted:
+nothing is sampled.
 
 Defined results: a null or empty text has a null perplexity and is rejected. A null language is a language of its
 own; a language without trusted documents takes the limit of all trusted documents; without any trusted document
-nothing is judged, and all rows with text are kept. A document is trusted if any label row of its id says so;
+nothing is judged, and all rows with text are kept. If one half has no trusted text, both models are that of the other. A document is trusted if any label row of its id says so;
 null ids are never trusted. Repeated rows are judged (and counted) each. Other columns are ignored.
 """
 
@@ -75,38 +78,42 @@ def _chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int,
         yield i, j, column.slice(i, j - i).to_pylist()
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
+def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys and counts of several parts, each key once."""
+    keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.concatenate([c for _, c in parts])[order]
+    keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+    sums = [np.concatenate([p[c] for p in parts])[order] for c in (1, 2)]
+    return keys[at], *(np.add.reduceat(x, at) if len(at) else x for x in sums)
 
 
 def _count_batches(order: int):
+    """Per partition its distinct n-grams with their counts in trusted texts of either half (``kind`` 1 and 2; 0 is other text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            kinds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, texts in _chunks(batch.column(0)):
                 code, offsets = ngrams(texts, order)
-                marked = code << 1 | np.repeat(trusted[i:j], np.diff(offsets))
+                marked = code << 2 | np.repeat(kinds[i:j], np.diff(offsets))
                 marked.sort()
                 at = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1]))) if len(marked) else np.zeros(0, np.int64)
                 n = np.diff(np.append(at, len(marked)))
                 distinct = marked[at]
-                parts.append((distinct >> 1, np.where(distinct & 1, n, 0)))
+                kind = distinct & 3
+                parts.append((distinct >> 2, np.where(kind == 1, n, 0), np.where(kind == 2, n, 0)))
                 held += len(at)
             if held > 1_000_000:
                 parts = [_merge(parts)]
                 held = len(parts[0][0])
                 if held > 700_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1].astype(np.int64))], names=["g", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["g", "c0", "c1"])
                     parts, held = [], 0
         if parts:
-            keys, counts = _merge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["g", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(parts)], names=["g", "c0", "c1"])
 
     return run
 
@@ -152,15 +159,17 @@ def _score_batches(order: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.HashTable()
         keys, costs = shared.value
+        costs = costs.ravel()
         table.add(keys, np.arange(len(keys)))
         for batch in batches:
-            for i, j, texts in _chunks(batch.column(4)):
+            halves = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, texts in _chunks(batch.column(5)):
                 code, offsets = ngrams(texts, order)
-                cost = costs[table.get(code.view(np.uint64))]
+                cost = costs[table.get(code.view(np.uint64)) * 2 + np.repeat(halves[i:j], np.diff(offsets))]
                 sums = np.concatenate(([0.0], np.cumsum(cost, dtype=np.float64)))
                 n = np.diff(offsets)
                 total = sums[offsets[1:]] - sums[offsets[:-1]]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(4)), pa.array(total), pa.array(n)], names=["row", "doc_id", "lang", "trusted", "cost", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), pa.array(total), pa.array(n)], names=["row", "doc_id", "lang", "trusted", "half", "cost", "n_chars"])
 
     return run
 
@@ -181,26 +190,39 @@ def _doc_ngram_batches(order: int):
 
 
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, table_limit: int = TABLE_LIMIT) -> DataFrame:
-    """Per document row: ``row``, ``doc_id``, ``lang``, ``trusted``, ``n_chars`` and ``perplexity`` per character, materialized."""
+    """Per document row: ``row``, ``doc_id``, ``lang``, ``trusted``, ``half``, ``n_chars`` and ``perplexity`` per character, materialized."""
     spark = docs.sparkSession
     ids = materialize(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct(), "trusted")
     marked = docs.select("doc_id", "lang", "text").join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("_trusted"), "left")
-    marked = marked.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), "text")
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    marked = marked.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), half, "text")
+    kind = F.when(F.col("trusted"), F.col("half") + 1).otherwise(0)
     counts = materialize(
-        map_text(marked.select("text", "trusted"), _count_batches(order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngrams"
+        map_text(marked.select("text", kind.alias("kind")), _count_batches(order), "g long, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "ngrams"
+    )
+    some = counts.agg(F.sum("c0"), F.sum("c1")).first()
+    both = F.col("c0") + F.col("c1")
+    # what scores a half is trained on the other one
+    model = lambda c: probabilities(counts.select("g", (c if some[0] and some[1] else both).alias("c")), order)
+    first = model(F.col("c1"))
+    second = model(F.col("c0")) if some[0] and some[1] else first
+    table = materialize(
+        first.select("g", (-F.log("p")).cast("float").alias("cost0")).join(second.select("g", (-F.log("p")).cast("float").alias("cost1")), "g"), "costs"
     )
-    table = probabilities(counts, order).select("g", (-F.log("p")).cast("float").alias("cost"))
-    size = table.count()
-    if size <= table_limit:
+    if table.count() <= table_limit:
         local = table.toArrow()
-        shared = spark.sparkContext.broadcast((local.column(0).to_numpy().view(np.uint64), local.column(1).to_numpy()))
-        scored = map_text(marked, _score_batches(order, shared), "row long, doc_id long, lang string, trusted boolean, cost double, n_chars long")
+        costs = np.stack([local.column(c).to_numpy() for c in (1, 2)], axis=1)
+        shared = spark.sparkContext.broadcast((local.column(0).to_numpy().view(np.uint64), costs))
+        scored = map_text(marked, _score_batches(order, shared), "row long, doc_id long, lang string, trusted boolean, half int, cost double, n_chars long")
     else:
         distinct = marked.dropDuplicates(["row"]).select("row", "text")
-        sums = map_text(distinct, _doc_ngram_batches(order), "row long, g long, n long").join(table, "g").groupBy("row").agg(F.sum(F.col("cost") * F.col("n")).alias("cost"))
-        scored = marked.select("row", "doc_id", "lang", "trusted", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).join(sums, "row", "left")
+        own = F.when(F.col("half") == 0, F.col("cost0")).otherwise(F.col("cost1"))
+        met = map_text(distinct, _doc_ngram_batches(order), "row long, g long, n long").join(table, "g")
+        sums = met.groupBy("row").agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("cost0", "cost1")])
+        lengths = marked.select("row", "doc_id", "lang", "trusted", "half", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+        scored = lengths.join(sums, "row", "left").withColumn("cost", own)
     return materialize(
-        scored.select("row", "doc_id", "lang", "trusted", "n_chars", F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars"))).alias("perplexity")), "scores"
+        scored.select("row", "doc_id", "lang", "trusted", "half", "n_chars", F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars"))).alias("perplexity")), "scores"
     )
 
 

@@ -26,11 +26,12 @@ def brute(docs, items):
         w = np.array([hash(x) for x in re.findall(r"\w+", (t or "").lower())])
         for i, b in items:
             v = np.array([hash(x) for x in re.findall(r"\w+", (b or "").lower())])
+            least = min(D.MIN_WORDS, len(v))
             for diagonal in range(-len(v) + 1, len(w)):
-                if len(v) and len(w):
-                    _, n, same = D.best_stretch(w, v, diagonal)
-                    if n >= min(D.MIN_WORDS, len(v)) and same >= D.MIN_SHARE * n and len(v) >= 8:
-                        out.add((d, i))
+                low, high = max(0, diagonal), min(len(w), diagonal + len(v))
+                same = (w[low:high] == v[low - diagonal : high - diagonal]).tolist()
+                if sum(same) >= 6 and any(sum(same[x:y]) >= D.MIN_SHARE * (y - x) for x in range(len(same)) for y in range(x + least, len(same) + 1)):
+                    out.add((d, i))
     return out
 
 
@@ -79,4 +80,5 @@ def test_best_stretch_bridges_substitutions():
     a = np.arange(30)
     b = a.copy()
     b[[10, 20]] = -1
-    assert D.best_stretch(a, b, 0) == (0, 30, 28)
+    assert D.best_stretch(a, b, 0, 12, 0.75) == (0, 30, 28)
+    assert D.best_stretch(a, -a - 1, 0, 12, 0.75) is None

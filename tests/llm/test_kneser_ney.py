@@ -54,9 +54,11 @@ GOOD = ["the cat sat on the mat and the dog ran off", "a man and a cat and a hat
 def test_perplexities_against_brute_force(spark, limit):
     rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(10, "the cat ran", "en"), (11, "XQZJ 99 ###", "en"), (12, "", "en"), (13, None, "en"), (14, "Ünïcode 日本 \U0001f600", None)]
     docs, labels = tables(spark, rows, [(i, 1, 0) for i in range(5)] + [(11, 0, 0), (None, 1, 0), (0, 1, 1)])
-    got = {r.doc_id: r.perplexity for r in K.score(docs, labels, table_limit=limit).collect()}
-    want = dict(zip([r[0] for r in rows], brute(GOOD, [r[1] for r in rows], K.ORDER)))
-    for d, value in want.items():
+    scores = K.score(docs, labels, table_limit=limit).collect()
+    got, half = {r.doc_id: r.perplexity for r in scores}, {r.doc_id: r.half for r in scores}
+    assert {half[i] for i in range(5)} == {0, 1}
+    for d, t, _ in rows:
+        value = brute([GOOD[i] for i in range(5) if half[i] != half[d]], [t], K.ORDER)[0]
         assert (got[d] is None) == (value is None) and (value is None or abs(got[d] - value) < 1e-3 * value)
 
 
@@ -85,6 +87,12 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(kept)
 
 
+def test_one_half_without_trusted_text(spark):
+    docs, labels = tables(spark, [(i, t, "en") for i, t in enumerate(GOOD)], [(0, 1, 0)])
+    want = brute(GOOD[:1], GOOD, K.ORDER)
+    assert all(abs(r.perplexity - want[r.doc_id]) < 1e-3 * want[r.doc_id] for r in K.score(docs, labels).collect())
+
+
 def test_without_trusted_text_nothing_is_judged(spark):
     docs, labels = tables(spark, [(1, "abc", "en"), (2, None, "en")], [])
     assert [r.doc_id for r in K.quality_kept(docs, labels).collect()] == [1]
