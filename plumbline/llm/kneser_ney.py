@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import tokens
 from plumbline.llm.common import broadcast_if_small, map_text, materialize
 
-ORDER, QUANTILE, SLACK, TABLE_LIMIT = 5, 0.995, 1.15, 8_000_000
+ORDER, QUANTILE, SLACK, TABLE_LIMIT = 5, 0.98, 1.15, 8_000_000
 SYMBOLS, WIDTH = 128, 7
 
 _MAP = np.empty(1 << 16, dtype=np.int64)
