@@ -48,10 +48,10 @@ def spaced_hashes(hashes: np.ndarray, before: np.ndarray, mask: str) -> tuple[np
 
 
 class Bloom:
-    """A Bloom filter with four probes, 16 bits or more per key up to its greatest size."""
+    """A Bloom filter with four probes, 128 bits or more per key up to its greatest size."""
 
     def __init__(self, n: int, max_bytes: int) -> None:
-        self.bits = max(16, min(int(n * 32).bit_length(), int(max_bytes).bit_length() + 2))
+        self.bits = max(16, min(int(n * 128).bit_length(), int(max_bytes).bit_length() + 2))
         self.field = np.zeros(1 << self.bits, dtype=bool)
 
     def add(self, keys: np.ndarray) -> None:
