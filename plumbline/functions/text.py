@@ -130,3 +130,26 @@ def unique_names(names: list[str], snake: bool = False) -> list[str]:
             new = f"{base}_{k}"
         out.append(new)
     return out
+
+
+def multivalued(column: Column, separator: str) -> Column:
+    """Whether a text is a list of two or more parts of one kind (all numbers, or all single words) under a separator."""
+    parts = F.transform(F.split(column, "\\" + separator), lambda p: F.trim(p))
+    numbers = F.forall(parts, lambda p: p.rlike(r"^[+-]?\d+(?:\.\d+)?$"))
+    words = F.forall(parts, lambda p: p.rlike(r"^[\p{L}\d_-]{1,30}$") & p.rlike(r"\p{L}"))
+    # a number with a decimal comma is no list
+    lone = column.rlike(r"^\s*[+-]?\d{1,3}(?:,\d{3})*(?:,\d+)?\s*$") if separator == "," else F.lit(False)
+    return column.contains(separator) & (numbers | words) & ~lone
+
+
+def deviation_class(shape: str, main: str) -> str:
+    """How a rare shape differs from the main one: in length only, within a token, or in its tokens."""
+    import re
+
+    tokens = lambda s: re.findall(r"9\+?|a\+?|A\+?|[^9aA+]|\+", s)
+    a, b = tokens(shape), tokens(main)
+    if [t.rstrip("+") for t in a] == [t.rstrip("+") for t in b]:
+        return "length_only"
+    if len(a) == len(b):
+        return "single_token" if sum(x != y for x, y in zip(a, b)) == 1 else "several_tokens"
+    return "tokens_added" if len(a) > len(b) else "tokens_removed"

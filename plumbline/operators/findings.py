@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import missing, pii, text, types_dates
 from plumbline.operators import structure
 from plumbline.operators.profile import Profile, profile_columns, table_overview
 from plumbline.operators.stats import top_values
+from plumbline.plans.aggplan import aggregate
 from plumbline.schemas import NUMERIC, declared_type
 
 
@@ -94,6 +99,84 @@ def case_variants(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {r[0]: r[1] for r in lower.groupBy("column").agg(F.sum("n")).collect()}
 
 
+@F.pandas_udf(T.StringType())
+def _nfc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+
+def deep_text_figures(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Per text column: values that aren't in composed Unicode form, cells that hold lists, and numbers' units and currencies."""
+    e = {}
+    for n in columns:
+        c = F.col(f"`{n}`")
+        for k, sep in (("comma", ","), ("semicolon", ";"), ("pipe", "|")):
+            e[f"{n}\0n_{k}_lists"] = F.count(F.when(text.multivalued(c, sep), 1))
+        parts = text.number_parts(c)
+        number = c.rlike(text.NUMBER_TEXT)
+        e[f"{n}\0units"] = F.array_sort(F.collect_set(F.when(number & (parts["unit"] != ""), parts["unit"])))
+        e[f"{n}\0currencies"] = F.array_sort(F.collect_set(F.when(number & (parts["currency"] != ""), parts["currency"])))
+        for k in ("ambiguous", "decimal_comma", "decimal_point"):
+            e[f"{n}\0n_{k}"] = F.count(F.when(number & parts[k], 1))
+    out: dict[str, dict] = {n: {} for n in columns}
+    for key, v in aggregate(df, e).items():
+        n, k = key.split("\0")
+        out[n][k] = v
+    for n in columns:
+        # only values beyond ASCII can change, and each is normalized once
+        values = df.where(F.col(f"`{n}`").rlike(r"[^\x00-\x7F]")).groupBy(F.col(f"`{n}`").alias("v")).agg(F.count("*").alias("n"))
+        out[n]["n_unicode_variants"] = values.where(F.col("v") != _nfc(F.col("v"))).agg(F.sum("n")).first()[0] or 0
+    return out
+
+
+def deep_findings(row: dict, figures: dict, patterns: list[dict], rare: float = 0.05) -> list[dict]:
+    """Findings of the text figures and of a column's shapes (most frequent first)."""
+    out, name, valid = [], row["column"], row["n_applicable"] - row["n_missing"]
+    if figures.get("n_unicode_variants"):
+        out.append(_finding(name, "unicode_normalization", "suspicious", "", valid, figures["n_unicode_variants"]))
+    lists = max(("comma", "semicolon", "pipe"), key=lambda k: figures.get(f"n_{k}_lists", 0))
+    n = figures.get(f"n_{lists}_lists", 0)
+    if n and n <= valid / 2:
+        out.append(_finding(name, "multivalued_cells", "suspicious", lists, valid, n))
+    if valid and (row.get("n_number_text") or 0) / valid >= 0.8:
+        for k, kind in (("units", "mixed_units"), ("currencies", "mixed_currencies")):
+            if len(figures.get(k) or []) > 1:
+                out.append(_finding(name, kind, "suspicious", ",".join(figures[k]), valid, row["n_number_text"]))
+    if patterns and patterns[0]["share"] >= 0.5:
+        odd = [p for p in patterns[1:] if p["share"] < rare]
+        if odd:
+            classes = sorted({text.deviation_class(p["pattern"], patterns[0]["pattern"]) for p in odd})
+            out.append(_finding(name, "rare_pattern", "suspicious", ",".join(classes), valid, sum(p["n"] for p in odd)))
+    return out
+
+
+def civil_date_shifts(df: DataFrame) -> list[dict]:
+    """Timestamp columns with a time zone whose civil date differs between the session's zone and UTC."""
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    e = {}
+    for n in names:
+        c = F.col(f"`{n}`")
+        e[f"{n}\0n"], e[f"{n}\0shift"] = F.count(c), F.count(F.when(F.to_date(c) != F.to_date(F.to_utc_timestamp(c, zone)), 1))
+    got = aggregate(df, e) if e else {}
+    return [_finding(n, "time_zone_shifts_date", "suspicious", zone, got[f"{n}\0n"], got[f"{n}\0shift"]) for n in names if got[f"{n}\0shift"]]
+
+
+def structure_findings(df: DataFrame, rows: list[dict], p_value: float = 0.01) -> list[dict]:
+    """Near keys, arithmetic relations and departures from Benford's law."""
+    out = []
+    for k in structure.detect_keys(df, 1):
+        if k["kind"] == "near_key":
+            out.append(_finding(k["columns"][0], "near_key", "suspicious", f"rate={k['rate']:.6f}", k["n_rows"], k["n_rows"] - k["n_distinct"]))
+    for r in structure.detect_arithmetic(df, max_columns=8):
+        out.append(_finding(",".join(r["columns"]), "arithmetic_relation", "ok" if not r["n_affected"] else "suspicious", r["kind"], r["n_evaluated"], r["n_affected"]))
+    for row in rows:
+        if row["declared_type"] in NUMERIC and row["n_applicable"] - row["n_missing"] >= 100 and (row.get("min") or 0) > 0 and row["max"] / row["min"] >= 1000:
+            b = structure.benford(df, row["column"])
+            if b["p"] is not None and b["p"] < p_value:
+                out.append(_finding(row["column"], "benford_deviation", "suspicious", f"chi2={b['chi2']:.3f}", b["n"], b["n"]))
+    return out
+
+
 def profile(df: DataFrame, name: str = "table", mode: str = "exact", key: list[str] | None = None, applicability: dict | None = None, dependencies: bool = True, protect: bool = True, deep_text: bool = True, **options) -> Profile:
     """A whole profile: columns, table figures, findings, coverage of what was not measured; personal data masked."""
     rows = profile_columns(df, mode, applicability=applicability, **options)
@@ -103,14 +186,22 @@ def profile(df: DataFrame, name: str = "table", mode: str = "exact", key: list[s
     texts = [r["column"] for r in rows if r["declared_type"] == "text"]
     if full and deep_text and texts:
         variants = case_variants(df, texts)
+        figures = deep_text_figures(df, texts)
         for r in rows:
             if r["column"] in texts:
+                r |= {k: v for k, v in figures[r["column"]].items() if k.startswith("n_")}
                 r["n_case_variants"] = variants.get(r["column"], 0)
                 inferred = types_dates.infer_type(df, r["column"])
                 r["inferred_type"] = inferred["type"]
                 r["date_formats"] = types_dates.detect_date_formats(df, r["column"]) if inferred["type"] in ("date", "timestamp", "text", "integer") else []
     found = [f for r in rows for f in column_findings(r)]
+    if full and deep_text:
+        for r in rows:
+            if r["column"] in texts:
+                shapes = [x.asDict() for x in discover_patterns(df, r["column"]).collect()] if r.get("n_distinct") else []
+                found += deep_findings(r, figures[r["column"]], shapes)
     if full:
+        found += civil_date_shifts(df) + structure_findings(df, rows)
         if general["n_surplus"]:
             found.append(_finding(None, "duplicate_rows", "error", "", general["n_rows"], general["n_surplus"]))
         for a, b in structure.duplicate_columns(df):

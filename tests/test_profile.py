@@ -128,3 +128,28 @@ def test_proposed_model_is_used_only_when_confirmed(people):
     with pytest.raises(ValueError):
         frameworks.model_from_proposal(proposal, "people")
     assert len(frameworks.model_from_proposal([x | {"confirmed": True} for x in proposal if x["metric"] == "not_null"], "people").instances) > 0
+
+
+def test_deep_text_findings(spark):
+    rows = [(f"AB-{i:03d}", "5 kg" if i % 2 else "7 lb", "one;two" if i < 10 else "plain words", "e\u0301" if i == 0 else "x", float(i + 1) ** 3) for i in range(120)] + [("AB-1-2", "5 kg", "plain words", "x", 2.0)]
+    df = spark.createDataFrame(rows, "code string, weight string, tags string, mark string, cube double")
+    kinds = {(f["column"], f["finding"]) for f in findings.profile(df, protect=False).findings}
+    assert {("code", "rare_pattern"), ("weight", "mixed_units"), ("tags", "multivalued_cells"), ("mark", "unicode_normalization")} <= kinds
+
+
+def test_deviation_classes():
+    from plumbline.functions.text import deviation_class
+
+    assert deviation_class("A+-99", "A+-9+9") == "length_only" or deviation_class("A-9+", "A+-9+") == "length_only"
+    assert deviation_class("A+/9+", "A+-9+") == "single_token" and deviation_class("A+-9+-9+", "A+-9+") == "tokens_added"
+
+
+def test_time_zone_shift(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Montevideo")
+        df = spark.sql("SELECT timestamp '2024-01-01 23:30:00' AS t UNION ALL SELECT timestamp '2024-01-01 10:00:00'")
+        found = findings.civil_date_shifts(df)
+        assert [(f["n_evaluated"], f["n_affected"]) for f in found] == [(2, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
