@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-METHODS = ("jw", "lv", "osa", "hamming", "lcs", "qgram", "cosine", "jaccard", "soundex")
+METHODS = tuple("jw lv osa lcs hamming qgram jaccard cosine soundex".split())
 
 
 def jaro_winkler(a: str, b: str, p: float = 0.1) -> float:

@@ -41,7 +41,9 @@ def is_iban(column: Column) -> Column:
 
 def is_email(column: Column) -> Column:
     """A plausible address: at most 254 bytes, at most 64 before the at sign."""
-    shape = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}$"
+    atom = r"[\w!#$%&'*+/=?^`{|}~-]+"
+    label = r"(?:[^\W_](?:[^\W_]|-){0,61})"
+    shape = rf"^{atom}(?:\.{atom})*@(?:{label}(?<!-)\.)+[A-Za-z]{{2,63}}$"
     local = F.substring_index(column, "@", 1)
     return F.when(column.isNotNull(), column.rlike(shape) & (F.octet_length(column) <= 254) & (F.octet_length(local) <= 64))
 

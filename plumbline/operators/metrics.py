@@ -470,7 +470,7 @@ def reference_metrics() -> dict[str, Metric]:
     return dict(REFERENCE_METRICS)
 
 
-ESTIMATE_STATISTICS = ("stat", "se", "cv", "n", "df", "deff", "ess")
+ESTIMATE_STATISTICS = tuple("stat se cv n df deff ess".split())
 
 
 def measures_from_estimates(estimates: DataFrame, entity: str, source: str, attribute: str | None = None, measured_at: str = "1970-01-01") -> DataFrame:

@@ -11,6 +11,8 @@ from plumbline.functions.missing import is_missing
 from plumbline.plans.aggplan import aggregate, quantiles_of_counts, value_counts
 from plumbline.schemas import NUMERIC, declared_type
 
+QUARTILES = tuple(k / 4 for k in range(5))
+
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 20) -> DataFrame:
     """The k most frequent values of each column, as text: ``column``, ``value``, ``n``, ``share``, ``rank``; ties to the smaller text."""
@@ -24,13 +26,13 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 20) ->
     return best.join(F.broadcast(totals), "column").select("column", "value", "n", (F.col("n") / F.col("total")).alias("share"), "rank")
 
 
-def quantiles(df: DataFrame, columns: list[str] | None = None, probabilities: list[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
+def quantiles(df: DataFrame, columns: list[str] | None = None, probabilities: list[float] = QUARTILES) -> DataFrame:
     """Exact type-7 quantiles of the finite values: ``column``, ``probability``, ``value``."""
     names = columns or [n for n in df.columns if declared_type(df.schema[n].dataType) in NUMERIC]
     return quantiles_of_counts(value_counts(df, names), list(probabilities))
 
 
-def value_distribution(df: DataFrame, k: int = 20, probabilities: list[float] = (0, 0.25, 0.5, 0.75, 1)) -> tuple[DataFrame, DataFrame]:
+def value_distribution(df: DataFrame, k: int = 20, probabilities: list[float] = QUARTILES) -> tuple[DataFrame, DataFrame]:
     """Top values of all columns and quantiles of the numeric ones."""
     return top_values(df, None, k), quantiles(df, None, probabilities)
 

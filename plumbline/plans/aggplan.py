@@ -57,7 +57,7 @@ def as_number(column: Column, kind: T.DataType) -> Column | None:
     return None
 
 
-def quantiles_of_counts(counts: DataFrame, probabilities: list[float], buckets: int = 256) -> DataFrame:
+def quantiles_of_counts(counts: DataFrame, probabilities: list[float], buckets: int = 64) -> DataFrame:
     """Exact type-7 quantiles per column from ``value_counts``: ``column``, ``probability``, ``value``.
 
     Values are cut into ``buckets`` ranges per column at approximate quantiles; ranks are running sums within a
@@ -69,7 +69,7 @@ def quantiles_of_counts(counts: DataFrame, probabilities: list[float], buckets:
     cuts = numbers.groupBy("column").agg(
         F.percentile_approx("number", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts"), F.sum("n").alias("total")
     )
-    placed = numbers.join(F.broadcast(cuts), "column").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("number"))))
+    placed = numbers.join(F.broadcast(cuts), "column").withColumn("bucket", _search(F.col("cuts"), F.col("number"), 0, buckets - 1))
     sums = placed.groupBy("column", "bucket").agg(F.sum("n").alias("m"))
     before = sums.withColumn("before", F.sum("m").over(Window.partitionBy("column").orderBy("bucket")) - F.col("m")).select("column", "bucket", "before")
     within = Window.partitionBy("column", "bucket").orderBy("number")
@@ -84,6 +84,14 @@ def quantiles_of_counts(counts: DataFrame, probabilities: list[float], buckets:
     return out.select("column", "probability", (F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
+def _search(cuts: Column, value: Column, low: int, high: int) -> Column:
+    """How many of cuts[low:high], in order, are below a value: a binary search as one compiled expression."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(cuts[mid] < value, _search(cuts, value, mid + 1, high)).otherwise(_search(cuts, value, low, mid))
+
+
 def modes_of_counts(counts: DataFrame) -> DataFrame:
     """Per column: ``n_distinct``, and the most frequent value (``mode_number`` or ``mode_text``; ties to the smallest) with its frequency ``mode_n``."""
     smallest = F.min_by(F.struct("number", "text", "n"), F.struct((-F.col("n")).alias("k"), "number", "text"))

@@ -39,7 +39,7 @@ def _r(c, digits: int = 6):
     return F.round(c, digits)
 
 
-# -- column and table profiles ------------------------------------------------------------------------------------
+# column and table profiles
 
 _NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -165,7 +165,7 @@ def profile_sampled(spark, sf_dir):
     return _rows(spark, [(r["column"], r["n"], r["n_zeros"], r["n_distinct"], r["state"]) for r in rows], "column string, n long, n_zeros long, n_distinct long, state string")
 
 
-# -- text, types, dates, validators -------------------------------------------------------------------------------
+# text, types, dates, validators
 
 _SHAPE_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[0-9]+', '9+', 'g'), '[A-Z]+', chr(1), 'g'), '[a-z]+', 'a+', 'g'), chr(1), 'A+', 'g')"
 
@@ -251,7 +251,7 @@ def pii_shapes(spark, sf_dir):
     return words.agg(F.count("*").alias("n"), F.count(F.when(shape["ip"], 1)).alias("n_ip"), F.count(F.when(shape["email"], 1)).alias("n_email"))
 
 
-# -- structure ----------------------------------------------------------------------------------------------------
+# structure
 
 
 @_query(
@@ -342,7 +342,7 @@ def duplicate_columns(spark, sf_dir):
     return _rows(spark, structure.duplicate_columns(df), "a string, b string")
 
 
-# -- statistics ---------------------------------------------------------------------------------------------------
+# statistics
 
 
 @_query("SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS value FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', count(*), round(corr(l_quantity, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', count(*), round(corr(l_extendedprice, l_discount), 6) FROM lineitem")
@@ -415,7 +415,7 @@ def compare_profiles(spark, sf_dir):
     return stats.compare_profiles(*p)
 
 
-# -- metrics ------------------------------------------------------------------------------------------------------
+# metrics
 
 
 def _measure(spark, sf_dir, name, entity, attributes=(), key=(), reference=None, tables=(), **properties) -> DataFrame:
@@ -632,7 +632,7 @@ def history_drift(spark, sf_dir):
     return drift.where("before IS NOT NULL").select("profile", "measurement_id", _r(F.col("before")).alias("before"), _r(F.col("after")).alias("after"), "state")
 
 
-# -- fuzzy duplicates and cleaning --------------------------------------------------------------------------------
+# fuzzy duplicates and cleaning
 
 
 @_query("WITH v AS (SELECT DISTINCT lower(c_name) AS v, left(lower(c_name), 17) AS k FROM customer) SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON a.k = b.k AND a.v < b.v WHERE levenshtein(a.v, b.v) <= 1")
