@@ -645,7 +645,7 @@ def near_duplicates_blocked(spark, sf_dir):
 @_query()
 def near_duplicates_lsh(spark, sf_dir):
     """Near record texts by MinHash LSH."""
-    return fuzzy.detect_near_duplicates(_t(spark, sf_dir, "part").limit(2000), ["p_name"], strategy="lsh")
+    return fuzzy.detect_near_duplicates(_t(spark, sf_dir, "part"), ["p_name"], strategy="lsh")
 
 
 @_query()

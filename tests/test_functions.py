@@ -128,3 +128,12 @@ def test_identifiers(name, parts):
 def test_bad_identifiers(name):
     with pytest.raises(ValueError):
         parse_identifier(name)
+
+
+def test_registered_lsh_compares_the_whole_table(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    names = [("large ring",)] * 2500 + [("large rings",)] * 2500
+    spark.createDataFrame(names, "p_name string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = entry.queries()["near_duplicates_lsh"](spark, str(tmp_path)).collect()
+    assert [(r.a, r.b, r.n_a, r.n_b) for r in got] == [("large ring", "large rings", 2500, 2500)]
