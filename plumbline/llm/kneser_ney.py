@@ -17,8 +17,8 @@ nothing is sampled.
 
 Defined results: a null or empty text has a null perplexity and is rejected. A null language is a language of its
 own; a language without trusted documents takes the limit of all trusted documents; without any trusted document
-nothing is judged, and all rows with text are kept. If one half has no trusted text, both models are that of the other. A document is trusted if any label row of its id says so;
-null ids are never trusted. Repeated rows are judged (and counted) each. Other columns are ignored.
+nothing is judged, and all rows with text are kept. If one half has no trusted text, both models are that of the other. A document is trusted if any label row of its id has quality 1
+and toxic 0 (a null toxic is not 0); null ids are never trusted. Repeated rows are judged (and counted) each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def _doc_ngram_batches(order: int):
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, table_limit: int = TABLE_LIMIT) -> DataFrame:
     """Per document row: ``row``, ``doc_id``, ``lang``, ``trusted``, ``half``, ``n_chars`` and ``perplexity`` per character, materialized."""
     spark = docs.sparkSession
-    ids = materialize(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct(), "trusted")
+    ids = materialize(labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct(), "trusted")
     marked = docs.select("doc_id", "lang", "text").join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("_trusted"), "left")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
     marked = marked.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), half, "text")

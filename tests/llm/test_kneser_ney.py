@@ -101,3 +101,10 @@ def test_without_trusted_text_nothing_is_judged(spark):
 def test_empty_table(spark):
     docs, labels = tables(spark, [], [])
     assert K.quality_kept(docs, labels).count() == 0
+
+
+def test_toxic_text_is_never_trusted(spark):
+    docs, labels = tables(spark, [(i, t, "en") for i, t in enumerate(GOOD)], [(0, 1, 0), (1, 1, 1), (2, 1, None)])
+    assert {r.doc_id for r in K.score(docs, labels).where("trusted").collect()} == {0}
+    want = brute(GOOD[:1], GOOD, K.ORDER)
+    assert all(abs(r.perplexity - want[r.doc_id]) < 1e-3 * want[r.doc_id] for r in K.score(docs, labels).collect())
