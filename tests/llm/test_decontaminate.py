@@ -82,3 +82,38 @@ def test_best_stretch_bridges_substitutions():
     b[[10, 20]] = -1
     assert D.best_stretch(a, b, 0, 12, 0.75) == (0, 30, 28)
     assert D.best_stretch(a, -a - 1, 0, 12, 0.75) is None
+
+
+def test_masks_miss_no_accepted_stretch():
+    """All stretches of 12 to 23 words with as many replaced words as are accepted; longer ones hold one of these."""
+    import itertools
+
+    import numpy as np
+
+    for n in range(12, 24):
+        replaced = [sum(1 << k for k in c) for c in itertools.combinations(range(n), int(n * (1 - D.MIN_SHARE)))]
+        same = (1 << n) - 1 - np.array(replaced, dtype=np.int64)
+        hit = np.zeros(len(same), dtype=bool)
+        for m in D.MASKS:
+            for k in range(n - len(m) + 1):
+                hit |= (same >> k) & int(m, 2) == int(m, 2)
+        assert hit.all(), n
+    for n, m in D.SHORT.items():
+        for c in itertools.combinations(range(n), int(n * (1 - D.MIN_SHARE))):
+            assert m in "".join("0" if k in c else "1" for k in range(n)), (n, c)
+
+
+def test_recall_by_length_and_replaced_words(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(9))
+    docs, items, want = [], [], set()
+    for n in [*range(1, 13), 15, 20, 25, 40]:
+        for k in range(10):
+            own = [word() for _ in range(n)]
+            items.append((len(items), " ".join(own)))
+            # first every 4th word, then random ones
+            for at in range(3, n, 4) if k == 0 else rng.sample(range(n), n // 4):
+                own[at] = word()
+            docs.append((items[-1][0], " ".join([word() for _ in range(20)] + own + [word() for _ in range(20)])))
+            want.add((docs[-1][0], items[-1][0]))
+    assert set(found(spark, docs, items)) == want
