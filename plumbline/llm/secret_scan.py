@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long unbroken tokens with a digit, and values assigned to credential-like names. A forest over the
+Candidates are values assigned to credential-like names, and long unbroken tokens with a digit that overlap none of
+these; ``=`` belongs to a token only as padding at its end. A forest over the
 value's length, character classes and transitions, the share that dictionary words cover, the path (``source``) and
 the neighbouring words then tells keys from hashes, ids, numbers and placeholders. It is trained on labelled findings
 (``value``, ``before``, ``after``, ``path``, ``label``): at most ``max_findings`` of them, taken by hash, enter the
@@ -31,9 +32,11 @@ from plumbline.llm.common import map_text
 
 MAX_FINDINGS, TREES, DEPTH, THRESHOLD = 20_000, 40, 10, 0.5
 
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 _ASSIGNED = re.compile(r"""(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|credential|auth)[\w-]*["']?\s*(?::=|[:=])\s*["']?([^\s"'<>,;]{6,})""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: The next parameter of a query string, which ends an assigned value.
+_NEXT = re.compile(r"&[\w.-]+=")
 
 #: Words whose letters count as covered; frequent in identifiers, paths and placeholder values.
 DICTIONARY = frozenset(
@@ -110,18 +113,30 @@ def features(value: str, before: str, after: str, path: str, transitions: Transi
     ]
 
 
+def _assigned(value: str) -> str:
+    """An assigned value without a query string's further parameters, and without a sentence's or bracket's end."""
+    value = _NEXT.split(value, maxsplit=1)[0]
+    while value and (value[-1] in ".:" or value[-1] in ")]}" and "([{"[")]}".index(value[-1])] not in value):
+        value = value[:-1]
+    return value
+
+
 def candidates(text: str) -> list[tuple[int, str]]:
-    """Starts and values of a text's candidates, in order."""
+    """Starts and values of a text's candidates, in order. An assigned value wins over long tokens that overlap it."""
     found = {}
+    for m in _ASSIGNED.finditer(text):
+        value = _assigned(m.group(1))
+        if len(value) >= 6:
+            found[m.start(1)] = value
+    spans = [(s, s + len(v)) for s, v in sorted(found.items())]
+    at = 0
     for m in _LONG.finditer(text):
         value = m.group().strip("=-/_") if not m.group().endswith("=") else m.group().lstrip("=-/_")
-        if len(value) >= 16 and any(c.isdigit() for c in value):
-            found[m.start() + m.group().find(value)] = value
-    for m in _ASSIGNED.finditer(text):
-        start = m.start(1)
-        # a long token that begins elsewhere within the same value is the same finding
-        if not any(s <= start < s + len(v) or start <= s < m.end(1) for s, v in found.items()):
-            found[start] = m.group(1)
+        start = m.start() + m.group().find(value)
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        if len(value) >= 16 and any(c.isdigit() for c in value) and not (at < len(spans) and spans[at][0] < start + len(value)):
+            found[start] = value
     return sorted(found.items())
 
 
@@ -238,4 +253,11 @@ def synthetic_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]
         else:
             value, lead = rng.choice(words) + rng.choice(["", "1", "_value"]) + rng.choice(words), rng.choice(["password = ", "token: ", "auth = ", "secret: "])
         out.append((value, f"{before} {lead}", after, path if rng.random() < 0.7 else rng.choice(["tests/fixtures/a.py", "docs/example.md", "package-lock.json"]), 0))
-    return out
+    return [row for made in out for row in _as_scanned(*made)]
+
+
+def _as_scanned(value: str, before: str, after: str, path: str, label: int) -> list[tuple[str, str, str, str, int]]:
+    """A labelled value as the scan finds it in its line; as it is where the scan has no candidate there."""
+    line, first, last = before + value + after, len(before), len(before) + len(value)
+    met = [(s, v) for s, v in candidates(line) if s < last and first < s + len(v)]
+    return [(v, line[max(0, s - 48) : s], line[s + len(v) : s + len(v) + 32], path, label) for s, v in met] or [(value, before, after, path, label)]

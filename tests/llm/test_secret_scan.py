@@ -44,3 +44,26 @@ def test_training_needs_both_labels(spark):
 def test_candidates_and_coverage():
     assert [v for _, v in S.candidates("a1b2c3d4e5f6a7b8 plain password: hunter22 x")] == ["a1b2c3d4e5f6a7b8", "hunter22"]
     assert S.coverage("example_secret_key") > 0.8 > 0.2 > S.coverage("9f2c4e1ab07d58c3")
+
+
+@pytest.mark.parametrize(
+    "line, value",
+    [
+        ("export API_KEY=04db9f2c4e1ab07d58c3e6f4a19bf962", "04db9f2c4e1ab07d58c3e6f4a19bf962"),
+        ("db_password=hunter2!", "hunter2!"),
+        ("password: P@ssw0rd!LongSecret1234567890abc", "P@ssw0rd!LongSecret1234567890abc"),
+        ("see http://h/?token=9f2c4e1ab07d58c3&user=17", "9f2c4e1ab07d58c3"),
+        ("the secret: 9f2c4e1ab07d58c3e6f4.", "9f2c4e1ab07d58c3e6f4"),
+        ("data QUJDREVGR0hJSktMTU5PUFFSU1Q3OQ== x", "QUJDREVGR0hJSktMTU5PUFFSU1Q3OQ=="),
+    ],
+)
+def test_assigned_values_are_cut_exactly(line, value):
+    assert S.candidates(line) == [(line.index(value), value)]
+
+
+def test_env_files_and_query_strings_give_the_secret_itself(spark, model):
+    key = "04db9f2c4e1ab07d58c3e6f4a19b2d7c80e5f962"
+    texts = [f"export API_KEY={key}", f"get /x?token={key}&page=2 now"]
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.start, r.length, r.sha256) for r in S.secret_scan(docs, model).collect()}
+    assert got == {i: (t.index(key), 40, hashlib.sha256(key.encode()).hexdigest()) for i, t in enumerate(texts)}
