@@ -1,4 +1,8 @@
-"""Byte-level BPE over Arrow text, by segments: each distinct segment is encoded once per worker."""
+"""Byte-level BPE over Arrow text, by segments: each distinct segment is encoded once per worker.
+
+A segment is looked up by hash and then compared byte by byte with the one that was encoded, so that no collision
+gives it another's ids.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ _LOADED: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """A vocabulary with a cache from a segment's hash to its ids."""
+    """A vocabulary with a cache of segments' ids."""
 
     def __init__(self, path: str, cache_segments: int = 800_000) -> None:
         import tiktoken
@@ -37,31 +41,54 @@ class Encoder:
         self.pool = np.zeros(1 << 20, dtype=self.dtype)
         self.start = np.zeros(1 << 18, dtype=np.int64)
         self.length = np.zeros(1 << 18, dtype=np.int32)
-        self.n = self.used = 0
+        # the cached segments themselves, as 64-bit chunks
+        self.chunks = np.zeros(1 << 19, dtype=np.uint64)
+        self.chunk = np.zeros(1 << 18, dtype=np.int64)
+        self.bytes = np.zeros(1 << 18, dtype=np.int64)
+        self.n = self.used = self.used_chunks = 0
+
+    def _add(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, chunks: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Encodes segments and returns their new places in the cache."""
+        encode = self.encoding._core_bpe.encode_ordinary
+        ids = [encode(raw[x:y].decode("utf-8", "replace")) for x, y in zip(starts[which].tolist(), ends[which].tolist())]
+        lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        total, places = int(lengths.sum()), np.arange(self.n, self.n + len(ids))
+        self.pool = _room(self.pool, self.used + total)
+        self.start, self.length = _room(self.start, self.n + len(ids)), _room(self.length, self.n + len(ids))
+        self.pool[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), dtype=self.dtype, count=total)
+        self.start[places] = self.used + np.concatenate(([0], np.cumsum(lengths[:-1])))
+        self.length[places] = lengths
+        n = np.diff(first)[which]
+        begin = np.concatenate(([0], np.cumsum(n)))
+        self.chunks = _room(self.chunks, self.used_chunks + int(begin[-1]))
+        self.chunk, self.bytes = _room(self.chunk, self.n + len(ids)), _room(self.bytes, self.n + len(ids))
+        self.chunks[self.used_chunks : self.used_chunks + begin[-1]] = chunks[np.repeat(first[:-1][which] - begin[:-1], n) + np.arange(begin[-1])]
+        self.chunk[places] = self.used_chunks + begin[:-1]
+        self.bytes[places] = (ends - starts)[which]
+        self.n, self.used, self.used_chunks = self.n + len(ids), self.used + total, self.used_chunks + int(begin[-1])
+        return places
 
     def _places(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each segment's place in the cache, and the number of segments before each text."""
         if self.n > self.limit:
             self._reset()
         starts, ends, before = tokens.segments(data, offsets)
-        hashes = tokens.span_hashes(data, starts, ends)
+        if not len(starts):
+            return np.zeros(0, np.int64), before
+        chunks, first = tokens.span_chunks(data, starts, ends)
+        hashes = tokens.hash_chunks(chunks, first, ends - starts)
         found = self.table.get(hashes)
-        missing = np.flatnonzero(found < 0)
+        missing, raw = np.flatnonzero(found < 0), None
         if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            raw, encode = data.tobytes(), self.encoding._core_bpe.encode_ordinary
-            a, b = starts[missing[first]].tolist(), ends[missing[first]].tolist()
-            ids = [encode(raw[x:y].decode("utf-8", "replace")) for x, y in zip(a, b)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-            total = int(lengths.sum())
-            self.pool = _room(self.pool, self.used + total)
-            self.start, self.length = _room(self.start, self.n + len(ids)), _room(self.length, self.n + len(ids))
-            self.pool[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), dtype=self.dtype, count=total)
-            self.start[self.n : self.n + len(ids)] = self.used + np.concatenate(([0], np.cumsum(lengths[:-1])))
-            self.length[self.n : self.n + len(ids)] = lengths
-            self.table.add(new, np.arange(self.n, self.n + len(ids)))
-            self.n, self.used = self.n + len(ids), self.used + total
+            raw = data.tobytes()
+            new, at = np.unique(hashes[missing], return_index=True)
+            self.table.add(new, self._add(raw, starts, ends, chunks, first, missing[at]))
             found[missing] = self.table.get(hashes[missing])
+        same = self.chunks[np.minimum(np.repeat(self.chunk[found] - first[:-1], np.diff(first)) + np.arange(len(chunks)), len(self.chunks) - 1)] == chunks
+        other = np.flatnonzero((self.bytes[found] != ends - starts) | ~np.logical_and.reduceat(same, first[:-1]))
+        if len(other):
+            # equal hashes of unequal segments: these get places of their own, outside the table
+            found[other] = self._add(raw or data.tobytes(), starts, ends, chunks, first, other)
         return found, before
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -23,10 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (tests, one machine) a temporary folder is made and set.
+    Only where that setting is empty and all runs in one process (tests), a temporary folder is made and set; on a
+    cluster an empty setting is an error, as executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     # a path without a scheme belongs to the cluster's default file system
@@ -61,12 +65,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit ``limit``; else as it is, for a shuffled join.
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it fits ``limit``; else as it is, for a shuffled join.
 
-    ``df`` should be materialized, as it is counted here.
+    ``df`` should be materialized, as it is counted here. Where rows hold texts or lists, ``row_bytes`` is their
+    size as an expression, which is summed over all rows.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, changed where needed so that none is a column of ``names`` (in any case of letters)."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def map_text(df: DataFrame, function, schema) -> DataFrame:
@@ -81,5 +98,6 @@ def map_text(df: DataFrame, function, schema) -> DataFrame:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A 64-bit key of a document row that also tells apart rows of one id, and rows without an id."""
-    return F.xxhash64(F.lit("row"), F.col(doc_id), F.coalesce(F.col(text), F.lit("\0null")))
+    """A 128-bit key of a document row that also tells apart rows of one id, and rows without an id."""
+    content = (F.col(doc_id), F.coalesce(F.col(text), F.lit("\0null")))
+    return F.struct(F.xxhash64(F.lit("row"), *content).alias("a"), F.xxhash64(F.lit("row again"), *content).alias("b"))

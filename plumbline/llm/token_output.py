@@ -3,13 +3,13 @@
 Each task encodes its texts, joins them with an end-of-text id between documents, cuts the stream into sequences of
 ``length`` ids and writes them in record batches of ``batch_rows`` sequences: ``input_ids``
 (fixed_size_list<uint16>, uint32 for larger vocabularies) and ``mask`` (fixed_size_list<uint8>, 0 on the padding
-of a file's last sequence). Nothing is shuffled or sent to the driver but one index row per document. Files carry
+of a file's last sequence). Nothing is shuffled or sent to the driver but one index row per row of the table. Files carry
 the task attempt's number, and the index names those of attempts that succeeded, so a lost executor or a
 speculative copy leaves at most an unnamed file.
 
-Defined results: null and empty texts have no ids; they get an index row with 0 tokens. Null ids are kept. Repeated
-rows are written each. An empty table gives no files and no rows. A text of any length is written whole, over as
-many sequences as it takes. Other columns are ignored.
+Defined results: null and empty texts have no ids; they get an index row with 0 tokens. Null ids are kept; ``key``
+(the hash of id and text) tells rows of null or repeated ids apart. Repeated rows are written each. An empty table gives no files and no rows. A text of any length is written whole, over as
+many sequences as it takes. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def _write_batches(folder: str, vocabulary: str, length: int, batch_rows: int):
         end = np.array([own.size], dtype=own.dtype)
         context, writer, at, file = TaskContext.get(), None, 0, None
         for batch in batches:
-            for i, j, data, offsets in text_groups(batch.column(1)):
+            for i, j, data, offsets in text_groups(batch.column(2)):
                 if writer is None:
                     file = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.arrow"
                     writer = SequenceWriter(file, own.dtype, length, batch_rows)
@@ -115,7 +115,7 @@ def _write_batches(folder: str, vocabulary: str, length: int, batch_rows: int):
                 starts = at + before[:-1] + ends - (n > 0)
                 writer.add(out)
                 at += len(out)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([file] * (j - i)), pa.array(starts), pa.array(n)], names=["doc_id", "file", "start", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array([file] * (j - i)), pa.array(starts), pa.array(n)], names=["doc_id", "key", "file", "start", "n_tokens"])
         if writer is not None:
             writer.close()
 
@@ -123,10 +123,10 @@ def _write_batches(folder: str, vocabulary: str, length: int, batch_rows: int):
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, length: int = LENGTH, batch_rows: int = BATCH_ROWS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Writes all documents and returns their index: ``doc_id``, ``file``, ``start`` (in ids from the file's start) and ``n_tokens``.
+    """Writes all documents and returns their index: ``doc_id``, ``key``, ``file``, ``start`` (in ids from the file's start) and ``n_tokens``.
 
     By default into a fresh folder within the shared one; ``folder`` must be a URI that all executors reach.
     """
     folder = folder or scratch_path(docs.sparkSession, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(map_text(rows, _write_batches(folder, vocabulary, length, batch_rows), "doc_id long, file string, start long, n_tokens long"), "token-index")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return materialize(map_text(rows, _write_batches(folder, vocabulary, length, batch_rows), "doc_id long, key long, file string, start long, n_tokens long"), "token-index")

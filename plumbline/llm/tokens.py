@@ -6,7 +6,6 @@ All functions work on whole texts. Nothing loops over characters or words in Pyt
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +13,8 @@ import pyarrow as pa
 #: Texts are scanned in groups of about this many bytes, to bound a worker's memory.
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD = np.zeros(256, dtype=bool)
 for _c in range(256):
@@ -30,14 +28,8 @@ _SEGMENT[:33] = 3
 _SEGMENT[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
 _SEGMENT[[0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F, *range(0x80, 0x8B)]] |= 1
 _SEGMENT[32] = 7
-_PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
-
-
-@lru_cache(maxsize=8)
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    out = np.full(n, _INVERSE if inverse else _BASE, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Keeps the first n bytes of eight, in the order of memory.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,16 +101,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets), starts
 
 
+def span_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans as 64-bit chunks on end (the last of a span filled up with zeros), and where each span's begin (spans + 1)."""
+    size = ends - starts
+    first = np.concatenate(([0], np.cumsum((size + 7) >> 3)))
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    left = np.repeat(size, np.diff(first)) - (place << 3)
+    return eight[np.repeat(starts, np.diff(first)) + (place << 3)] & _FIRST[np.minimum(left, 8)], first
+
+
+def hash_chunks(chunks: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans from their chunks: each chunk is mixed with its place before they are added, so no algebra of sums makes spans equal."""
+    place = (np.arange(len(chunks)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    mixed = mix(chunks + mix(place * _STEP + _M1))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+    return mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(size.astype(np.uint64) + _STEP))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial sum modulo 2^64."""
-    n = len(data)
-    size = 1 << max(16, int(n).bit_length())
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    terms = _PLUS_ONE[data]
-    terms *= _powers(size, False)[:n]
-    np.cumsum(terms, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(size, True)[starts])
+    """64-bit hashes of byte spans."""
+    chunks, first = span_chunks(data, starts, ends)
+    return hash_chunks(chunks, first, ends - starts)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

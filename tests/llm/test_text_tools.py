@@ -63,3 +63,27 @@ def test_hash_table_against_a_dict():
 def test_groups_cover_all_texts_even_a_huge_one():
     offsets = np.array([0, 10, 10, 5_000_000, 5_000_001])
     assert [x for i, j in tokens.groups(offsets, 100) for x in range(i, j)] == [0, 1, 2, 3]
+
+
+def test_texts_on_which_polynomial_hashes_fail():
+    """A Thue-Morse string and its complement have equal polynomial sums modulo 2^64, whatever the base."""
+    flip = str.maketrans("ab", "ba")
+    one = "a"
+    for _ in range(11):
+        one += one.translate(flip)
+    two = one.translate(flip)
+    data, offsets = tokens.texts_of(pa.array([one, two]))
+    hashes, _, _ = tokens.words(data, offsets)
+    assert hashes[0] != hashes[1]
+    own = bpe.Encoder(bpe.VOCABULARY)
+    ids, before = own.encode(data, offsets)
+    assert [own.encoding.decode(ids[a:b].tolist()) for a, b in zip(before, before[1:])] == [one, two]
+
+
+def test_equal_hashes_do_not_share_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "hash_chunks", lambda chunks, first, size: np.full(len(size), 5, np.uint64))
+    own = bpe.Encoder(bpe.VOCABULARY)
+    for texts in (["alpha beta gamma", "beta beta"], ["gamma delta", "alpha"], ["alpha", "", "a much longer segment"]):
+        data, offsets = tokens.texts_of(pa.array(texts))
+        ids, before = own.encode(data, offsets)
+        assert [own.encoding.decode(ids[a:b].tolist()) for a, b in zip(before, before[1:])] == texts
