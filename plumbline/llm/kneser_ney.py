@@ -1,13 +1,16 @@
 """Quality filter by an interpolated modified Kneser-Ney character n-gram model trained on trusted text.
 
-Characters are mapped to 127 symbols (ASCII letters and marks as they are, digits as one, other characters by
-hash), and an n-gram is one integer of 7 bits a symbol. One pass over the corpus gives, per partition, its
-distinct n-grams with their counts in trusted documents; they are summed by n-gram over the shards of a shuffle.
-Continuation counts, context totals and the three discounts per order (Chen and Goodman, 1999) follow by
-aggregation, and the interpolated probability of every n-gram that the corpus has by joining the sharded counts
-order by order, from single symbols up. Unseen n-grams are resolved the same way, by their contexts' back-off
-mass. A second pass looks each position of each text up and gives perplexities. The looked-up table is broadcast
-if its counted size fits ``table_limit``; beyond that, n-grams are joined to it by shards.
+Characters are mapped to 1023 symbols (ASCII letters and marks as they are, digits as one, other characters by
+hash), and an n-gram is one integer of 10 bits a symbol. One pass over the corpus gives each file's distinct n-grams,
+another the counts of the trusted documents; they are summed by n-gram over the shards of a shuffle. Continuation
+counts, context totals and the three discounts per order (Chen and Goodman, 1999) follow by aggregation, and the
+interpolated probability of every n-gram that the corpus has by joining the sharded counts order by order, from single
+symbols up. Unseen n-grams are resolved the same way, by their contexts' back-off mass.
+
+The costs go back to where they are needed: by sharded joins each file's distinct n-grams get theirs, which are written
+to the shared folder, a table for each file. The scoring pass reads the texts where they are and, for each file, that
+file's table only. So no text is shuffled, nothing is broadcast or sent to the driver, a task holds the n-grams of
+one file, and there is one plan for every size of corpus. Texts that come from no file (as in tests) count as one file.
 
 Trusted documents are halved by a hash of their id, and a model is trained on each half; every document is scored
 by the model of the half that it doesn't belong to. So trusted documents' perplexities are those of unseen text, and
@@ -18,7 +21,8 @@ nothing is sampled.
 Defined results: a null or empty text has a null perplexity and is rejected. A null language is a language of its
 own; a language without trusted documents takes the limit of all trusted documents; without any trusted document
 nothing is judged, and all rows with text are kept. If one half has no trusted text, both models are that of the other. A document is trusted if any label row of its id has quality 1
-and toxic 0 (a null toxic is not 0); null ids are never trusted. Repeated rows are judged (and counted) each. Other columns are ignored.
+and toxic 0 (a null toxic is not 0); null ids are never trusted. Repeated rows are judged (and counted) each. Other columns are ignored, whatever their
+names; ``drop_low_quality`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -27,26 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
-from plumbline.llm.common import broadcast_if_small, map_text, materialize
+from plumbline.llm.common import broadcast_if_small, fresh, map_text, materialize, scratch_path
+from plumbline.plans.aggplan import quantiles_of_counts
 
-ORDER, QUANTILE, SLACK, TABLE_LIMIT = 5, 0.98, 1.15, 8_000_000
-SYMBOLS, WIDTH = 128, 7
+ORDER, QUANTILE, SLACK = 5, 0.98, 1.15
+SYMBOLS, WIDTH = 1024, 10
 
-_MAP = np.empty(1 << 16, dtype=np.int64)
-_MAP[:] = 88 + (np.arange(1 << 16) * 2654435761 >> 7) % 39
-_MAP[:128] = 1
+_MAP = 128 + (np.arange(1 << 16, dtype=np.int64) * 2654435761 >> 7) % 895
+_MAP[:32] = 1
 _MAP[ord("\n")] = 2
+_MAP[32:128] = np.arange(32, 128)
 _MAP[ord("0") : ord("9") + 1] = 3
-_next = 4
-for _c in range(32, 127):
-    if not chr(_c).isdigit():
-        _MAP[_c] = _next
-        _next += 1
-assert _next <= 90
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,39 +80,69 @@ def _chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int,
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Keys and counts of several parts, each key once."""
     keys = np.concatenate([p[0] for p in parts])
+    if len(parts[0]) == 1:
+        return (np.unique(keys),)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    sums = [np.concatenate([p[c] for p in parts])[order] for c in (1, 2)]
+    sums = [np.concatenate([p[c] for p in parts])[order] for c in range(1, len(parts[0]))]
     return keys[at], *(np.add.reduceat(x, at) if len(at) else x for x in sums)
 
 
+def _flush(parts: dict[str, list], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What was gathered for each file, as batches."""
+    for block, own in parts.items():
+        columns = _merge(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), int(block))), *map(pa.array, columns)], names=names)
+    parts.clear()
+
+
+#: Distinct n-grams that a worker gathers before it passes them on.
+HELD = 700_000
+
+
+def _distinct_batches(order: int):
+    """Each file's distinct n-grams, as far as one task has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            blocks = batch.column(1).to_numpy()
+            for i, j, texts in _chunks(batch.column(0)):
+                code, offsets = ngrams(texts, order)
+                for block in np.unique(blocks[i:j]).tolist():
+                    own = code if (blocks[i:j] == block).all() else code[np.repeat(blocks[i:j] == block, np.diff(offsets))]
+                    parts.setdefault(block, []).append((np.unique(own),))
+            if sum(len(p[0]) for own in parts.values() for p in own) > 2 * HELD:
+                for block, own in parts.items():
+                    parts[block] = [_merge(own)]
+                if sum(len(own[0][0]) for own in parts.values()) > HELD:
+                    yield from _flush(parts, ["block", "g"])
+        yield from _flush(parts, ["block", "g"])
+
+    return run
+
+
 def _count_batches(order: int):
-    """Per partition its distinct n-grams with their counts in trusted texts of either half (``kind`` 1 and 2; 0 is other text)."""
+    """Per task the n-grams of trusted texts with their counts in either half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(parts)], names=["g", "c0", "c1"])
         for batch in batches:
-            kinds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            halves = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, texts in _chunks(batch.column(0)):
                 code, offsets = ngrams(texts, order)
-                marked = code << 2 | np.repeat(kinds[i:j], np.diff(offsets))
-                marked.sort()
-                at = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1]))) if len(marked) else np.zeros(0, np.int64)
-                n = np.diff(np.append(at, len(marked)))
-                distinct = marked[at]
-                kind = distinct & 3
-                parts.append((distinct >> 2, np.where(kind == 1, n, 0), np.where(kind == 2, n, 0)))
-                held += len(at)
-            if held > 1_000_000:
+                marked = code << 1 | np.repeat(halves[i:j], np.diff(offsets))
+                distinct, n = np.unique(marked, return_counts=True)
+                parts.append((distinct >> 1, np.where(distinct & 1, 0, n), np.where(distinct & 1, n, 0)))
+            if sum(len(p[0]) for p in parts) > 2 * HELD:
                 parts = [_merge(parts)]
-                held = len(parts[0][0])
-                if held > 700_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["g", "c0", "c1"])
-                    parts, held = [], 0
+                if len(parts[0][0]) > HELD:
+                    yield made()
+                    parts = []
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(parts)], names=["g", "c0", "c1"])
+            yield made()
 
     return run
 
@@ -127,113 +156,116 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))  # type: ignore[return-value]
 
 
-def probabilities(counts: DataFrame, order: int) -> DataFrame:
-    """The interpolated probability ``p`` of each n-gram ``g`` of ``counts`` (``g``, ``c`` in trusted text, 0 allowed)."""
-    seen, wanted = {}, {}
+def probabilities(counts: DataFrame, order: int, models: int = 1) -> DataFrame:
+    """The interpolated probabilities ``p0``, ... of each n-gram ``g`` of ``counts`` (``g``, and ``c0``, ... in each model's trusted text, 0 allowed)."""
+    each = range(models)
     # sharded counts: raw for the full order, numbers of distinct left neighbours below it
-    seen[order] = counts.where("c > 0").select("g", "c")
-    wanted[order] = counts.select("g")
+    tables = {order: counts}
     for n in range(order - 1, 0, -1):
         cut = F.col("g").bitwiseAND((1 << WIDTH * n) - 1)
-        seen[n] = materialize(seen[n + 1].groupBy(cut.alias("g")).agg(F.count("*").alias("c")), f"continuations{n}")
-        wanted[n] = materialize(wanted[n + 1].select(cut.alias("g")).distinct(), f"wanted{n}")
+        tables[n] = materialize(tables[n + 1].groupBy(cut.alias("g")).agg(*[F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in each]), f"continuations{n}")
     lower = None
     for n in range(1, order + 1):
-        of = seen[n].agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()
-        d1, d2, d3 = discounts(*of)
-        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        table = tables[n]
+        of = table.agg(*[F.count(F.when(F.col(f"c{m}") == k, 1)) for m in each for k in (1, 2, 3, 4)]).first()
+        off = {}
+        for m in each:
+            d1, d2, d3 = discounts(*of[4 * m : 4 * m + 4])
+            c = F.col(f"c{m}")
+            off[m] = F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3)
         context = F.shiftright("g", WIDTH)
-        totals = seen[n].groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), (F.sum(d) / F.sum("c")).alias("back"))
-        rows = wanted[n].select("g", context.alias("ctx"), F.col("g").bitwiseAND((1 << WIDTH * (n - 1)) - 1).alias("suffix"))
-        rows = rows.join(seen[n].withColumn("own", F.col("c") - d).select("g", "own"), "g", "left").join(totals, "ctx", "left")
+        totals = table.groupBy(context.alias("ctx")).agg(*[x for m in each for x in (F.sum(f"c{m}").alias(f"total{m}"), F.sum(off[m]).alias(f"back{m}"))])
+        own = [(F.col(f"c{m}") - off[m]).alias(f"own{m}") for m in each]
+        rows = table.select("g", context.alias("ctx"), F.col("g").bitwiseAND((1 << WIDTH * (n - 1)) - 1).alias("suffix"), *own).join(totals, "ctx")
         if lower is None:
-            rows = rows.withColumn("q", F.lit(1.0 / SYMBOLS))
+            rows = rows.select("*", *[F.lit(1.0 / SYMBOLS).alias(f"q{m}") for m in each])
         else:
-            rows = rows.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("q")), "suffix")
-        p = F.when(F.col("total").isNull(), F.col("q")).otherwise(F.coalesce("own", F.lit(0.0)) / F.col("total") + F.col("back") * F.col("q"))
-        lower = materialize(rows.select("g", p.alias("p")), f"p{n}")
+            rows = rows.join(lower.select(F.col("g").alias("suffix"), *[F.col(f"p{m}").alias(f"q{m}") for m in each]), "suffix")
+        p = [F.when(F.col(f"total{m}") == 0, F.col(f"q{m}")).otherwise((F.col(f"own{m}") + F.col(f"back{m}") * F.col(f"q{m}")) / F.col(f"total{m}")).alias(f"p{m}") for m in each]
+        lower = materialize(rows.select("g", *p), f"p{n}")
     return lower
 
 
-def _score_batches(order: int, shared):
+def _score_batches(order: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens.HashTable()
-        keys, costs = shared.value
-        costs = costs.ravel()
-        table.add(keys, np.arange(len(keys)))
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        loaded, table, costs = None, None, None
         for batch in batches:
-            halves = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j, texts in _chunks(batch.column(5)):
+            blocks, halves = batch.column(5).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, texts in _chunks(batch.column(6)):
                 code, offsets = ngrams(texts, order)
-                cost = costs[table.get(code.view(np.uint64)) * 2 + np.repeat(halves[i:j], np.diff(offsets))]
-                sums = np.concatenate(([0.0], np.cumsum(cost, dtype=np.float64)))
                 n = np.diff(offsets)
+                of, half = np.repeat(blocks[i:j], n), np.repeat(halves[i:j], n)
+                cost = np.zeros(len(code), dtype=np.float64)
+                for block in np.unique(of).tolist():
+                    if block != loaded:
+                        own = ds.dataset(f"{path}/block={block}", format="parquet", filesystem=system).to_table(columns=["g", "cost0", "cost1"])
+                        # several tasks may have met an n-gram of one file
+                        keys, first = np.unique(own["g"].to_numpy(), return_index=True)
+                        table = tokens.HashTable()
+                        table.add(keys.view(np.uint64), np.arange(len(keys)))
+                        costs, loaded = np.stack([own[c].to_numpy()[first] for c in ("cost0", "cost1")], axis=1).ravel(), block
+                    at = of == block
+                    cost[at] = costs[table.get(code[at].view(np.uint64)) * 2 + half[at]]
+                sums = np.concatenate(([0.0], np.cumsum(cost)))
                 total = sums[offsets[1:]] - sums[offsets[:-1]]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), pa.array(total), pa.array(n)], names=["row", "doc_id", "lang", "trusted", "half", "cost", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), pa.array(total), pa.array(n)], names=["row", "row2", "doc_id", "lang", "half", "cost", "n_chars"])
 
     return run
 
 
-def _doc_ngram_batches(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for i, j, texts in _chunks(batch.column(1)):
-                code, offsets = ngrams(texts, order)
-                row = np.repeat(rows[i:j], np.diff(offsets))
-                at = np.lexsort((code, row))
-                code, row = code[at], row[at]
-                first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])))) if len(code) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(code[first]), pa.array(np.diff(np.append(first, len(code))))], names=["row", "g", "n"])
-
-    return run
+def _row(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that tell a row from others by id, language and text."""
+    own = [docs[c] for c in ("doc_id", "lang", "text")]
+    nulls = F.concat(*[c.isNull().cast("string") for c in own])
+    return F.xxhash64(F.lit("row"), nulls, *own), F.xxhash64(F.lit("row again"), nulls, *own)
 
 
-def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, table_limit: int = TABLE_LIMIT) -> DataFrame:
-    """Per document row: ``row``, ``doc_id``, ``lang``, ``trusted``, ``half``, ``n_chars`` and ``perplexity`` per character, materialized."""
-    spark = docs.sparkSession
-    ids = materialize(labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct(), "trusted")
-    marked = docs.select("doc_id", "lang", "text").join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("_trusted"), "left")
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
-    marked = marked.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), half, "text")
-    kind = F.when(F.col("trusted"), F.col("half") + 1).otherwise(0)
+def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+    """Per document row: ``row`` and ``row2`` (its key), ``doc_id``, ``lang``, ``trusted``, ``half``, ``n_chars`` and ``perplexity`` per character, materialized."""
+    ids = materialize(labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct(), "trusted")
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id").cast("long")), F.lit(2)).cast("int")
+    # a file's texts share a table, however the file is split among tasks
+    block = F.xxhash64(F.input_file_name())
+    text = F.col("text")
+    wanted = materialize(map_text(docs.select(text, block.alias("block")), _distinct_batches(order), "block long, g long"), "wanted")
+    trusted = docs.select(text, half.alias("half"), F.col("doc_id").cast("long").alias("id")).join(broadcast_if_small(ids, 16), F.col("id") == F.col("trusted_id")).select("text", "half")
+    counted = map_text(trusted, _count_batches(order), "g long, c0 long, c1 long")
     counts = materialize(
-        map_text(marked.select("text", kind.alias("kind")), _count_batches(order), "g long, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "ngrams"
+        counted.unionByName(wanted.select("g", F.lit(0).cast("long").alias("c0"), F.lit(0).cast("long").alias("c1"))).groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "ngrams"
     )
     some = counts.agg(F.sum("c0"), F.sum("c1")).first()
-    both = F.col("c0") + F.col("c1")
     # what scores a half is trained on the other one
-    model = lambda c: probabilities(counts.select("g", (c if some[0] and some[1] else both).alias("c")), order)
-    first = model(F.col("c1"))
-    second = model(F.col("c0")) if some[0] and some[1] else first
-    table = materialize(
-        first.select("g", (-F.log("p")).cast("float").alias("cost0")).join(second.select("g", (-F.log("p")).cast("float").alias("cost1")), "g"), "costs"
-    )
-    if table.count() <= table_limit:
-        local = table.toArrow()
-        costs = np.stack([local.column(c).to_numpy() for c in (1, 2)], axis=1)
-        shared = spark.sparkContext.broadcast((local.column(0).to_numpy().view(np.uint64), costs))
-        scored = map_text(marked, _score_batches(order, shared), "row long, doc_id long, lang string, trusted boolean, half int, cost double, n_chars long")
+    if some[0] and some[1]:
+        models = counts.select("g", F.col("c1").alias("c0"), F.col("c0").alias("c1"))
     else:
-        distinct = marked.dropDuplicates(["row"]).select("row", "text")
-        own = F.when(F.col("half") == 0, F.col("cost0")).otherwise(F.col("cost1"))
-        met = map_text(distinct, _doc_ngram_batches(order), "row long, g long, n long").join(table, "g")
-        sums = met.groupBy("row").agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("cost0", "cost1")])
-        lengths = marked.select("row", "doc_id", "lang", "trusted", "half", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-        scored = lengths.join(sums, "row", "left").withColumn("cost", own)
-    return materialize(
-        scored.select("row", "doc_id", "lang", "trusted", "half", "n_chars", F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars"))).alias("perplexity")), "scores"
-    )
+        models = counts.select("g", (F.col("c0") + F.col("c1")).alias("c0"))
+    two = bool(some[0] and some[1])
+    p = probabilities(models, order, 1 + two)
+    cost = p.select("g", (-F.log("p0")).cast("float").alias("cost0"), (-F.log("p1" if two else "p0")).cast("float").alias("cost1"))
+    folder = scratch_path(docs.sparkSession, "costs")
+    wanted.join(cost, "g").repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
+    key = _row(docs)
+    marked = docs.select(key[0].alias("row"), key[1].alias("row2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), half.alias("half"), block.alias("block"), text)
+    scored = map_text(marked, _score_batches(order, folder), "row long, row2 long, doc_id long, lang string, half int, cost double, n_chars long")
+    perplexity = F.when(F.col("n_chars") > 0, F.exp(F.col("cost") / F.col("n_chars"))).alias("perplexity")
+    scored = materialize(scored.select("row", "row2", "doc_id", "lang", "half", "n_chars", perplexity), "perplexities")
+    return materialize(scored.join(broadcast_if_small(ids, 16), F.col("doc_id") == F.col("trusted_id"), "left").select("row", "row2", "doc_id", "lang", F.col("trusted_id").isNotNull().alias("trusted"), "half", "n_chars", "perplexity"), "scores")
 
 
 def judge(scores: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """``scores`` with the ``threshold`` of the row's language, and ``keep``."""
+    # exact quantiles by bucketed ranks: of each language, and of all
+    named = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))
     trusted = scores.where("trusted AND perplexity IS NOT NULL")
-    at = lambda: F.percentile("perplexity", F.lit(quantile)) * slack
-    limits = trusted.groupBy(F.col("lang").alias("_lang")).agg(at().alias("_limit"))
-    overall = trusted.agg(at().alias("_overall"))
-    out = scores.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(overall))
-    out = out.withColumn("threshold", F.coalesce("_limit", "_overall")).drop("_lang", "_limit", "_overall")
+    counts = trusted.select(F.explode(F.array(named, F.lit("all"))).alias("column"), F.col("perplexity").alias("number")).groupBy("column", "number").agg(F.count("*").alias("n"))
+    limits = {r["column"]: r["value"] * slack for r in quantiles_of_counts(materialize(counts, "perplexity-counts"), [quantile]).collect()}
+    table = scores.sparkSession.createDataFrame(sorted(limits.items()) or [("", 0.0)], "limit_of string, limit double")
+    overall = F.lit(limits.get("all")).cast("double")
+    out = scores.join(F.broadcast(table), named == F.col("limit_of"), "left").withColumn("threshold", F.coalesce("limit", overall)).drop("limit_of", "limit")
     return out.withColumn("keep", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
 
 
@@ -244,5 +276,7 @@ def quality_kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
-    rejected = materialize(judge(score(docs, labels, **options)).where("NOT keep").select(F.col("row").alias("_row")).distinct(), "rejected")
-    return docs.join(broadcast_if_small(rejected, 16), F.xxhash64(docs["doc_id"], docs["lang"], docs["text"]) == F.col("_row"), "left_anti")
+    a, b = fresh(docs.columns, "_row", "_row2")
+    rejected = materialize(judge(score(docs, labels, **options)).where("NOT keep").select(F.col("row").alias(a), F.col("row2").alias(b)).distinct(), "rejected")
+    key = _row(docs)
+    return docs.join(broadcast_if_small(rejected, 24), (key[0] == rejected[a]) & (key[1] == rejected[b]), "left_anti")

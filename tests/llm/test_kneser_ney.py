@@ -43,18 +43,21 @@ def brute(trusted, texts, order):
 
 
 def tables(spark, rows, labels):
-    docs = spark.createDataFrame([(d, t, lang, "s", 0, True) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, trusted boolean")
+    docs = spark.createDataFrame([(d, t, lang, "s", 0, True, 5, 6, False) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, trusted boolean, _row long, block int, keep boolean")
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
 GOOD = ["the cat sat on the mat and the dog ran off", "a man and a cat and a hat", "the rain in spain stays mainly in the plain", "then they sat and ate the cake", "one of the men went to the sea"]
 
 
-@pytest.mark.parametrize("limit", [8_000_000, 0])
-def test_perplexities_against_brute_force(spark, limit):
-    rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(10, "the cat ran", "en"), (11, "XQZJ 99 ###", "en"), (12, "", "en"), (13, None, "en"), (14, "Ünïcode 日本 \U0001f600", None)]
+@pytest.mark.parametrize("files", [0, 3])
+def test_perplexities_against_brute_force(spark, files, tmp_path):
+    rows = [(i, t, "en") for i, t in enumerate(GOOD)] + [(10, "the cat ran", "en"), (11, "XQZJ 99 ###", "en"), (12, "", "en"), (13, None, "en"), (14, "Ünïcode 日本 \U0001f600", None), (15, "the mat " * 40_000, "en")]
     docs, labels = tables(spark, rows, [(i, 1, 0) for i in range(5)] + [(11, 0, 0), (None, 1, 0), (0, 1, 1)])
-    scores = K.score(docs, labels, table_limit=limit).collect()
+    if files:
+        docs.repartition(files, "doc_id").write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    scores = K.score(docs, labels).collect()
     got, half = {r.doc_id: r.perplexity for r in scores}, {r.doc_id: r.half for r in scores}
     assert {half[i] for i in range(5)} == {0, 1}
     for d, t, _ in rows:
@@ -68,8 +71,8 @@ def test_probabilities_sum_to_one(spark):
     ctx = int(keys[5]) >> K.WIDTH
     every = [(ctx << K.WIDTH) | s for s in range(K.SYMBOLS)]
     seen = dict(zip(keys.tolist(), n.tolist()))
-    counts = spark.createDataFrame([(g, seen.get(g, 0)) for g in {*every, *seen}], "g long, c long")
-    p = {r.g: r.p for r in K.probabilities(counts, 3).collect()}
+    counts = spark.createDataFrame([(g, seen.get(g, 0)) for g in {*every, *seen}], "g long, c0 long")
+    p = {r.g: r.p0 for r in K.probabilities(counts, 3).collect()}
     assert abs(sum(p[g] for g in every) - 1) < 1e-9
 
 
