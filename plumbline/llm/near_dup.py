@@ -6,11 +6,13 @@ Nodes that share a band are candidates. A document's samples are also folded int
 which each sample flips one bit; the population count of two sketches' XOR estimates the Jaccard similarity
 (Mitzenmacher, Pagh and Pham, 2014), most precisely where it is high. Per set of nodes that met, a search over
 similar sketches leaves a spanning forest rather than all pairs, so a group of m copies costs m - 1 edges.
-Connected components of the edges are the groups.
+A band that more than ``CROWD`` nodes share is cut into parts that meet in pairs, each pair in a row of its own, so
+the variants of one template are spread over tasks and all still meet. Connected components of the edges are the groups.
 
 Defined results: a null doc_id is never in a group. Null texts and texts without any character are in no group;
 texts without words (only symbols) match only when equal. Repeated rows of one doc_id are one document. Ties:
-the smallest doc_id of a group stands for it. An empty table gives no rows. Other columns are ignored.
+the smallest doc_id of a group stands for it. An empty table gives no rows. Other columns are ignored, whatever their names,
+and kept as they are by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import tokens
-from plumbline.llm.common import broadcast_if_small, map_text, materialize
+from plumbline.llm.common import broadcast_if_small, fresh, map_text, materialize
 
 BANDS, ROWS, SHINGLE, BITS, THRESHOLD = 40, 6, 2, 512, 0.62
+#: Nodes of a band that are compared in one row; one node in ``LOOK`` is counted to find bands of more.
+CROWD, LOOK = 4_096, 16
 
 _SIGNATURE = T.StructType(
     [
@@ -190,21 +194,23 @@ def _forest_batches(limit: int):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: columns ``node`` and ``root``, the smallest node of its component.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), each a window over one key, so no
+    Alternates large-star and small-star steps (Kiveris et al., 2014), each a map-side minimum and a join, so no
     neighbourhood is ever collected; the number of rounds grows with the logarithm of the largest component.
     """
-    from pyspark.sql import Window
-
     edges = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    u = Window.partitionBy("u")
+
+    def least(of: DataFrame) -> DataFrame:
+        """Each row with ``m``, the least v of its u: map-side minima, joined back, so that a hub's rows can be split among tasks."""
+        return of.join(of.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(u), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = least(both).withColumn("m", F.least("m", "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.withColumn("m", F.min("v").over(u))
+        low = least(large)
         small = low.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         edges = materialize(small.where("u <> v").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first())
@@ -215,21 +221,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bits: int = BITS
-) -> DataFrame:
-    """Members of groups of near-duplicates: ``doc_id``, and ``group_id``, the smallest doc_id of the group (see the module)."""
-    limit = most_bits(threshold, bits, bands * rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    sig = materialize(map_text(text, _signature_batches(bands, rows, shingle, bits), _SIGNATURE), "signatures")
-    # equal signatures: one node
-    nodes = materialize(
-        sig.groupBy("sig").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("n")).select("sig", F.col("n.doc_id").alias("node"), "n.bands", "n.sketch"),
-        "nodes",
-    )
-    copies = sig.select("doc_id", "sig").join(nodes.select("sig", "node"), "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+def _lists(nodes: DataFrame, crowd: int, look: int) -> DataFrame:
+    """``members`` (node and sketch) of each set of nodes that met in a band; of a crowded band, a row for each pair of its parts."""
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    # which bands to cut is a matter of work, not of results: their size is told from one node in ``look``
+    some = nodes.where(F.pmod(F.xxhash64(F.lit("look"), "node"), F.lit(look)) == 0).select(F.explode("bands").alias("hot"))
+    hot = materialize(some.groupBy("hot").agg(F.ceil(F.count("*") * look / crowd).cast("int").alias("parts")).where("parts > 1"), "hot-bands")
+    side = broadcast_if_small(hot, 16)
     sets = (
-        nodes.select("node", F.explode("bands").alias("band"))
+        banded.join(side, F.col("band") == F.col("hot"), "left_anti")
         .groupBy("band")
         .agg(F.array_sort(F.collect_set("node")).alias("members"))
         .where(F.size("members") > 1)
@@ -238,20 +238,51 @@ def near_duplicates(
     )
     met = sets.select(F.xxhash64(F.size("members"), "members").alias("set"), F.explode("members").alias("node"))
     # a node may have several signatures if rows of one doc_id differ; then each counts
-    lists = (
-        met.join(nodes.select("node", "sketch"), "node")
-        .groupBy("set")
-        .agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    member = F.collect_list(F.struct("node", "sketch")).alias("members")
+    lists = met.join(nodes.select("node", "sketch"), "node").groupBy("set").agg(member).select("members")
+    if hot.isEmpty():
+        return lists
+    part, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cut = (
+        nodes.select("node", "sketch", F.explode("bands").alias("band"))
+        .join(side, F.col("band") == F.col("hot"))
+        .select("node", "sketch", "band", part.alias("part"), other.alias("other"))
+        .groupBy("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .agg(member)
         .select("members")
     )
-    edges = map_text(lists, _forest_batches(limit), "a long, b long")
-    found = components(edges.unionByName(copies))
-    sizes = found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
-    return sizes
+    return lists.unionByName(cut)
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bits: int = BITS, crowd: int = CROWD, look: int = LOOK
+) -> DataFrame:
+    """Members of groups of near-duplicates: ``doc_id``, and ``group_id``, the smallest doc_id of the group (see the module)."""
+    limit = most_bits(threshold, bits, bands * rows)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    sig = materialize(map_text(text, _signature_batches(bands, rows, shingle, bits), _SIGNATURE), "signatures")
+    # equal signatures: one node
+    nodes = materialize(
+        sig.groupBy("sig").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("n")).select("sig", F.col("n.doc_id").alias("node"), "n.bands", "n.sketch"),
+        "nodes",
+    )
+    copies = materialize(sig.select("doc_id", "sig").join(nodes.select("sig", "node"), "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
+    edges = map_text(_lists(nodes, crowd, look), _forest_batches(limit), "a long, b long")
+    # a copy of one node only follows it; those whose rows connect several nodes are edges
+    own = copies.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")).join(nodes.select(F.col("node").alias("also")).distinct(), F.col("a") == F.col("also"), "left")
+    own = materialize(own.select("a", "b", ((F.col("b") == F.col("last")) & F.col("also").isNull()).alias("leaf")), "own-copies")
+    links = copies.join(own.where("NOT leaf").select("a"), "a", "left_semi")
+    found = components(edges.unionByName(links))
+    leaves = own.where("leaf").select(F.col("a").alias("doc_id"), F.col("b").alias("first"))
+    found = materialize(found, "components")
+    followed = leaves.join(found, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("root", "first").alias("group_id"), "first")
+    alone = followed.select(F.col("first").alias("doc_id")).distinct().join(found, F.col("doc_id") == F.col("node"), "left_anti").select("doc_id", F.col("doc_id").alias("group_id"))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).unionByName(followed.select("doc_id", "group_id")).unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the members of each group other than its smallest doc_id; rows without doc_id stay."""
+    (name,) = fresh(docs.columns, "_gone")
     groups = near_duplicates(docs, **options)
-    gone = materialize(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = materialize(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"] == gone[name], "left_anti")

@@ -108,3 +108,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.root for r in N.components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_crowded_bands_give_the_same_groups(spark):
+    rng = random.Random(3)
+    base = [rng.choice("abcdefghijklmnop") * 3 + str(rng.randint(0, 99)) for _ in range(80)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.randint(0, 999)}" for w in base)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    want = sorted(tuple(r) for r in N.near_duplicates(docs).collect())
+    assert len(want) >= 50 and sorted(tuple(r) for r in N.near_duplicates(docs, crowd=4, look=1).collect()) == want
