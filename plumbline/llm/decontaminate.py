@@ -7,7 +7,8 @@ there is any stretch of at least ``min_words`` words (all of a shorter item) of
 there is one is decided exactly, by the running minimum of one running sum.
 
 The corpus side is filtered, before the join, by a Bloom filter of the benchmark's hashes whose size is fixed by
-their counted number (at most ``max_bloom_bytes``, beyond which only more rows pass on to the join). Documents
+their counted number (at most ``max_bloom_bytes``, beyond which only more rows pass on to the join). It is made of
+segments that tasks fill; the driver and the workers hold it as bits. Documents
 without a candidate send nothing; the others send their word hashes once. No text is shuffled.
 
 The masks miss no stretch of the default ``min_words`` and ``min_share``. Items shorter than 12 words have masks of
@@ -15,7 +16,8 @@ their own, which documents are only searched for if there are such items.
 
 Defined results: null and empty texts match nothing. Items shorter than ``min_words`` are found whole, in the same
 share of their words. Null doc_ids and item_ids are carried as null. Repeated rows give one result row per id, repeated items
-each their own. Ties between stretches go to the first. Other columns are ignored.
+each their own. Ties between stretches go to the first. Other columns are ignored, whatever their names, and kept as they are
+by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
-from plumbline.llm.common import broadcast_if_small, map_text, materialize
+from plumbline.llm.common import broadcast_if_small, fresh, map_text, materialize
 
 #: Every stretch of 12 to 23 words of which 75 % agree has one of these, wherever the others are; a longer one that agrees as
 #: much has a part of 12 to 23 words that does. Found by greedy choice over all 108,297 such patterns, which a test goes through.
@@ -52,32 +54,33 @@ def spaced_hashes(hashes: np.ndarray, before: np.ndarray, mask: str) -> tuple[np
     return acc[at], at
 
 
+#: Bits of a filter that one row fills.
+SEGMENT = 19
+
+
 class Bloom:
     """A Bloom filter with four probes, 128 bits or more per key up to its greatest size."""
 
     def __init__(self, n: int, max_bytes: int) -> None:
         self.bits = max(16, min(int(n * 128).bit_length(), int(max_bytes).bit_length() + 2))
-        self.field = np.zeros(1 << self.bits, dtype=bool)
-
-    def add(self, keys: np.ndarray) -> None:
-        for k in range(4):
-            self.field[self._at(keys, k)] = True
+        self.field = np.zeros(1 << self.bits - 3, dtype=np.uint8)
 
-    def _at(self, keys: np.ndarray, k: int) -> np.ndarray:
+    def places(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """The bit of each key's k-th probe."""
         return (keys * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)[k]) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def __getstate__(self) -> dict:
-        return {"bits": self.bits, "field": np.packbits(self.field)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.bits, self.field = state["bits"], np.unpackbits(state["field"]).view(bool)
+    def add(self, keys: np.ndarray) -> None:
+        for k in range(4):
+            at = self.places(keys, k)
+            np.bitwise_or.at(self.field, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def maybe(self, keys: np.ndarray) -> np.ndarray:
         """Indices of the keys that may be in the set."""
-        at = np.flatnonzero(self.field[self._at(keys, 0)])
-        for k in (1, 2, 3):
-            at = at[self.field[self._at(keys[at], k)]]
-        return at
+        left = np.arange(len(keys))
+        for k in range(4):
+            at = self.places(keys[left], k)
+            left = left[self.field[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+        return left
 
 
 def _seed(hashes: np.ndarray, before: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,14 +192,14 @@ def contaminated(
     """One row per document and benchmark item that overlap: ``doc_id``, ``item_id``, the best stretch's ``first_word``, ``n_words``, ``n_same``, and ``item_words``."""
     spark = docs.sparkSession
     schema = "key long, id long, words array<long>, hashes array<long>, at array<long>"
-    key = lambda c: F.xxhash64(F.lit("row"), F.col(c), F.coalesce(F.col("text"), F.lit("\0null")))
-    part = lambda d, c: d.select(key(c).alias("key"), F.col(c).cast("long").alias("id"), F.lower("text").alias("text")).where("text <> ''")
+    # a number per row; written with the row, so that it is the same whenever it is read
+    part = lambda d, c: d.select(F.monotonically_increasing_id().alias("key"), F.col(c).cast("long").alias("id"), F.lower("text").alias("text")).where("text <> ''")
     items = materialize(map_text(part(benchmark, "item_id"), _benchmark_batches(masks), schema), "items")
     seeds = materialize(items.select("key", F.explode(F.arrays_zip("hashes", "at")).alias("s")).select(F.col("key").alias("item"), F.col("s.hashes").alias("hash"), F.col("s.at").alias("item_at")), "seeds")
     bloom = spark.sparkContext.broadcast(_bloom(seeds, max_bloom_bytes))
     lengths = {r[0] for r in items.select(F.size("words")).where(F.size("words") <= max(SHORT)).distinct().collect()}
     searched = (*masks, *sorted({SHORT[n] for n in lengths if n}))
-    found = materialize(map_text(part(docs, "doc_id"), _corpus_batches(searched, bloom), schema), "candidates").dropDuplicates(["key"])
+    found = materialize(map_text(part(docs, "doc_id"), _corpus_batches(searched, bloom), schema), "candidates")
     hits = (
         found.select("key", F.explode(F.arrays_zip("hashes", "at")).alias("s"))
         .select("key", F.col("s.hashes").alias("hash"), F.col("s.at").alias("doc_at"))
@@ -204,7 +207,7 @@ def contaminated(
         .groupBy("key", "item")
         .agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("diagonals"))
     )
-    entries = items.dropDuplicates(["key"]).select(F.col("key").alias("item"), F.col("id").alias("item_id"), F.col("words").alias("item_words"))
+    entries = items.select(F.col("key").alias("item"), F.col("id").alias("item_id"), F.col("words").alias("item_words"))
     pairs = (
         hits.join(found.select("key", F.col("id").alias("doc_id"), F.col("words").alias("doc_words")), "key")
         .join(entries, "item")
@@ -220,19 +223,28 @@ def contaminated(
 
 
 def _bloom(seeds: DataFrame, max_bytes: int) -> Bloom:
-    """A filter of all seeds' hashes; they pass through the driver by partition, only the filter is held."""
+    """A filter of all seeds' hashes: tasks fill its segments, which the driver puts side by side."""
     out = Bloom(seeds.count(), max_bytes)
-    buffer: list[int] = []
-    for row in seeds.select("hash").distinct().toLocalIterator(prefetchPartitions=True):
-        buffer.append(row[0])
-        if len(buffer) == 100_000:
-            out.add(np.array(buffer, dtype=np.int64).view(np.uint64))
-            buffer = []
-    out.add(np.array(buffer, dtype=np.int64).view(np.uint64))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.unique(batch.column(0).to_numpy()).view(np.uint64)
+            at = np.unique(np.concatenate([out.places(keys, k) for k in range(4)]))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> SEGMENT), pa.array((at & (1 << SEGMENT) - 1).astype(np.int32))], names=["segment", "bit"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        own = np.zeros(1 << SEGMENT, dtype=np.uint8)
+        own[table["bit"].to_numpy()] = 1
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()])})
+
+    for r in seeds.select("hash").mapInArrow(places, "segment long, bit int").groupBy("segment").applyInArrow(fill, "segment long, bits binary").toLocalIterator():
+        own = np.frombuffer(r.bits, dtype=np.uint8)[: len(out.field)]
+        out.field[r.segment << SEGMENT - 3 :][: len(own)] = own
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated documents; rows without a doc_id stay."""
-    gone = materialize(contaminated(docs, benchmark, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"] == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs.columns, "_gone")
+    gone = materialize(contaminated(docs, benchmark, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(gone, 16), docs["doc_id"] == gone[name], "left_anti")
