@@ -9,7 +9,8 @@ then first line), so text that only exists as copies is not lost.
 Defined results: lines are compared as they are but for spaces around them; blank lines are never boilerplate.
 A null site counts for nothing, a null text stays null, an empty text stays empty. A row with a null doc_id
 comes after all others in the order, and loses boilerplate as they do. Repeated rows (same id and text) are one
-place: all keep a line or none does. Other columns are ignored by ``spread_lines`` and kept by ``drop_lines``.
+place: all keep a line or none does. Other columns, whatever their names, are ignored by ``spread_lines`` and kept as
+they are by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_if_small, materialize, row_key
+from plumbline.llm.common import broadcast_if_small, fresh, materialize, row_key
 
 MIN_SITES, MARGIN, LG_K = 8, 0.1, 12
 
@@ -57,7 +58,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
 
 def _removals(docs: DataFrame, boilerplate: DataFrame, site: str) -> DataFrame:
     """Per row key (and id) the positions of the lines that go, materialized."""
-    hit = _lines(docs, site).join(broadcast_if_small(boilerplate, 64), ["_h1", "_h2"])
+    hit = _lines(docs, site).join(broadcast_if_small(boilerplate, 80), ["_h1", "_h2"])
     # repeated rows give equal positions: the set has each once
     goes = ~((F.col("_key") == F.col("_first.key")) & F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_pos") == F.col("_first.pos")))
     return materialize(hit.where(goes).groupBy("_key").agg(F.collect_set("_pos").alias("_gone")), "removals")
@@ -68,22 +69,28 @@ def _clean(gone: Column) -> Column:
     return F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
+def _with_removals(docs: DataFrame, removals: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with the positions that go and the cleaned text, and the names of these two columns."""
+    key, gone, row, text = fresh(docs.columns, "_key", "_gone", "_row", "_text")
+    named = removals.select(F.col("_key").alias(key), F.col("_gone").alias(gone))
+    # a removal's row holds its key and four bytes for each position
+    side = broadcast_if_small(named, F.lit(64) + F.size(gone) * 4)
+    joined = docs.withColumn(row, row_key()).join(side, F.col(row) == F.col(key), "left")
+    return joined.withColumn(text, _clean(F.col(gone))), gone, text
+
+
 def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K, site: str = "source", drop_emptied: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; with ``drop_emptied`` without the rows that have no other text left."""
-    names = docs.columns
-    removals = _removals(docs, spread_lines(docs, min_sites, margin, lg_k, site), site)
-    keyed = docs.withColumn("_row", row_key()).join(broadcast_if_small(removals, 64), F.col("_row") == F.col("_key"), "left")
-    out = keyed.withColumn("_text", _clean(F.col("_gone")))
+    out, gone, text = _with_removals(docs, _removals(docs, spread_lines(docs, min_sites, margin, lg_k, site), site))
     if drop_emptied:
-        out = out.where(F.col("_gone").isNull() | (F.length(F.trim("_text")) > 0))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+        out = out.where(F.col(gone).isNull() | (F.length(F.trim(text)) > 0))
+    return out.select(*[F.col(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K, site: str = "source") -> DataFrame:
     """Every document's ``doc_id``, ``n_removed`` lines and cleaned ``text``."""
-    removals = _removals(docs, spread_lines(docs, min_sites, margin, lg_k, site), site)
-    keyed = docs.select("doc_id", "text", row_key().alias("_row")).join(broadcast_if_small(removals, 64), F.col("_row") == F.col("_key"), "left")
-    return keyed.select("doc_id", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), _clean(F.col("_gone")).alias("text"))
+    out, gone, text = _with_removals(docs.select("doc_id", "text"), _removals(docs, spread_lines(docs, min_sites, margin, lg_k, site), site))
+    return out.select("doc_id", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.col(text).alias("text"))
 
 
 #: The same result in SQL: exact distinct sites per line, all but the first place of a boilerplate line removed.

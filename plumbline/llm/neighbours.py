@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import materialize
 
 K, MISS, FIRST, BUCKET_ROWS, TASK_ROWS, LEAST_BITS, ROUNDS = 10, 0.08, 4, 400, 1 << 16, 9, 3
+#: Lists of k that a task merges.
+MERGED_LISTS = 100_000
 #: Roles of a row in a task: it is indexed, it is a query.
 INDEXED, QUERY = 1, 2
 
@@ -263,9 +265,32 @@ def _against_all(rows: DataFrame, queries: DataFrame, k: int, n: int, n_queries:
     return left.unionByName(right).groupBy("part", "piece").applyInArrow(meet(0, k), _FOUND)
 
 
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """The best k of each row over all tasks; a pair that met more than once counts once."""
-    return found.groupBy("row").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+def _merge_lists(k: int):
+    """Of the lists of each row, the best k; a pair that met more than once counts once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table["best"].combine_chunks()
+        flat = lists.flatten()
+        sim, ids, other = (flat.field(c).to_numpy() for c in range(3))
+        row = np.repeat(table["row"].to_numpy(), lists.value_lengths().to_numpy())
+        order = np.lexsort((other, ids, sim, row))
+        row, sim, ids, other = row[order], sim[order], ids[order], other[order]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (sim[1:] != sim[:-1]))) if len(row) else np.zeros(0, bool)
+        row, sim, ids, other = row[new], sim[new], ids[new], other[new]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        row, sim, ids, other = row[place < k], sim[place < k], ids[place < k], other[place < k]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else first
+        best = pa.StructArray.from_arrays([pa.array(sim), pa.array(ids), pa.array(other)], names=["s", "id", "row"])
+        return pa.table({"row": pa.array(row[first]), "best": pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), best)})
+
+    return run
+
+
+def _merged(found: DataFrame, k: int, lists: int) -> DataFrame:
+    """The best k of each row over all tasks, of about ``lists`` lists in all."""
+    groups = max(1, ceil(lists / MERGED_LISTS))
+    return found.groupBy(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("g")).applyInArrow(_merge_lists(k), _FOUND)
 
 
 def nearest(
@@ -303,7 +328,7 @@ def nearest(
     mean = (sums_by_task(rows, lambda x: x.sum(axis=0, dtype=np.float64), (d,)) / n).astype(np.float32)
     rotations = learn_rotations(rows, mean, 0, ceil(first * s / d))
     asked = rows.withColumn("need", F.lit(float(first)))
-    early = materialize(_merged(_round(asked, mean, rotations, s, 0, first, k, n, task_rows), k), "neighbours-first")
+    early = materialize(_merged(_round(asked, mean, rotations, s, 0, first, k, n, task_rows), k, n * first), "neighbours-first")
 
     # the k-th similarity so far bounds the angle of what is still to be found
     kth = -F.element_at("best", -1)["s"].cast("double")
@@ -325,5 +350,5 @@ def nearest(
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
-    out = rows.select("row", F.col("id").alias("vec_id")).join(_merged(found, k), "row").select("vec_id", F.posexplode("best").alias("at", "b"))
+    out = rows.select("row", F.col("id").alias("vec_id")).join(_merged(found, k, n * last), "row").select("vec_id", F.posexplode("best").alias("at", "b"))
     return out.select("vec_id", F.col("b.id").alias("neighbour_id"), (-F.col("b.s")).alias("similarity"), (F.col("at") + 1).alias("rank"))

@@ -73,14 +73,16 @@ def lookup_keys(url: Column) -> Column:
 
 def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture (``page_id``, ``url``, ``fetched_at``) with ``host``, ``blocked``, and the deciding entry's ``kind``, ``value``, ``category`` and ``valid_from``."""
-    rows = captures.select("page_id", "url", "fetched_at", F.xxhash64("page_id", "url", "fetched_at").alias("_row"))
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in ("page_id", "url", "fetched_at")])
+    both = F.struct(*[F.xxhash64(F.lit(k), nulls, "page_id", "url", "fetched_at").alias(k) for k in ("a", "b")])
+    rows = captures.select("page_id", "url", "fetched_at", both.alias("_row"))
     listed = materialize(intervals(entries), "intervals").withColumnsRenamed({"kind": "_kind", "value": "_value"})
     keys = rows.where("url IS NOT NULL AND fetched_at IS NOT NULL").select("_row", "fetched_at", F.explode(lookup_keys(F.col("url"))).alias("k"))
     in_force = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    hits = keys.join(broadcast_if_small(listed, 128), (F.col("k.kind") == F.col("_kind")) & (F.col("k.value") == F.col("_value")) & in_force)
+    hits = keys.join(broadcast_if_small(listed, F.lit(64) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("_kind", "_value", "category"))), (F.col("k.kind") == F.col("_kind")) & (F.col("k.value") == F.col("_value")) & in_force)
     best = F.max(F.struct(F.length("k.value").alias("n"), F.col("k.kind").alias("kind"), F.col("k.value").alias("value"), "category", "valid_from"))
     verdicts = materialize(hits.groupBy("_row").agg(best.alias("b")), "verdicts").withColumnRenamed("_row", "_hit")
-    joined = rows.join(broadcast_if_small(verdicts, 128), F.col("_row") == F.col("_hit"), "left")
+    joined = rows.join(broadcast_if_small(verdicts, F.lit(96) + sum(F.coalesce(F.octet_length(F.col("b")[c]), F.lit(0)) for c in ("kind", "value", "category"))), F.col("_row") == F.col("_hit"), "left")
     return joined.select(
         "page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"), F.col("b").isNotNull().alias("blocked"), F.col("b.kind").alias("kind"), F.col("b.value").alias("value"), F.col("b.category").alias("category"), F.col("b.valid_from").alias("valid_from")
     )
