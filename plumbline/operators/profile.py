@@ -146,8 +146,6 @@ def _decode_number(value: float | None, kind: T.DataType) -> str | None:
         return str(datetime.date(1970, 1, 1) + datetime.timedelta(days=int(value)))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return str(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=int(value)))
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return str(int(value))
     return repr(value)
 
 
@@ -202,7 +200,8 @@ def profile_columns(
             for r in modes_of_counts(counts).collect():
                 row, kind = rows[r["column"]], df.schema[r["column"]].dataType
                 row["n_distinct"], row["mode_n"] = r["n_distinct"], r["mode_n"]
-                row["mode"] = r["mode_text"] if r["mode_text"] is not None else _decode_number(r["mode_number"], kind)
+                whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or isinstance(kind, T.DecimalType) and r["mode_exact"] is not None
+                row["mode"] = r["mode_text"] if r["mode_text"] is not None else r["mode_exact"] if whole else _decode_number(r["mode_number"], kind)
             numeric = [n for n in analysed if declared_type(df.schema[n].dataType) in NUMERIC]
             if numeric:
                 for r in quantiles_of_counts(counts.where(F.col("column").isin(*numeric)), [0.25, 0.5, 0.75]).collect():
@@ -245,7 +244,7 @@ def _derive(row: dict, kind: T.DataType, dense_min_distinct: int, dense_threshol
     valid = applicable - row["n_missing"]
     distinct, low, high = row.get("n_distinct"), row.get("min"), row.get("max")
     if row["declared_type"] == "integer" and distinct is not None and low is not None:
-        span = int(high) - int(low) + 1
+        span = int(row.get("max_exact") or high) - int(row.get("min_exact") or low) + 1
         row["sequence_density"] = distinct / span
         row["sequence_gaps"] = span - distinct
         row["dense_sequence"] = distinct >= dense_min_distinct and row["sequence_density"] >= dense_threshold

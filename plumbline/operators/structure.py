@@ -126,7 +126,8 @@ def detect_relations(left: DataFrame, right: DataFrame, pairs: list[tuple[str, s
         if not pairs:
             return spark.createDataFrame([], schema)
     wanted = F.broadcast(spark.createDataFrame(pairs, "left string, right string"))
-    value = F.struct(F.col("number"), F.col("text"))
+    # integers beyond the exact doubles are compared by their digits
+    value = F.struct(F.col("number"), F.col("text"), F.when(F.abs("number") >= 2.0**53, F.col("exact")).alias("exact"))
     a_side = a_counts.select(F.col("column").alias("left"), F.to_json(value).alias("v"), F.col("n").alias("an")).join(wanted, "left")
     b_side = b_counts.select(F.col("column").alias("right"), F.to_json(value).alias("v"), F.col("n").alias("bn")).join(wanted, "right")
     met = a_side.join(b_side, ["left", "right", "v"], "full")

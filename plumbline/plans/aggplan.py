@@ -22,24 +22,54 @@ def aggregate(df: DataFrame, expressions: dict[str, Column]) -> dict:
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Counts of each column's distinct non-null values, in one pass and one shuffle: ``column``, ``number``, ``text``, ``n``.
+    """Counts of each column's distinct non-null values, in one pass and one shuffle: ``column``, ``number``, ``text``, ``exact``, ``n``.
 
     Numbers, dates and booleans are in ``number`` (dates as days, times as microseconds), texts in ``text``; NaN
-    and infinities are left out. Rows are expanded by column but counted map-side, so what is shuffled is bounded
+    and infinities are left out. Integers and wide decimals are told apart as they are, not as doubles, and have all
+    their digits in ``exact``. Rows are expanded by column but counted map-side, so what is shuffled is bounded
     by the distinct values of each partition.
     """
-    parts = []
-    for name in columns:
+    schema = "column string, number double, text string, exact string, n long"
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    parts, wide = [], []
+    for i, name in enumerate(columns):
         kind, c = df.schema[name].dataType, F.col(f"`{name}`")
-        number, text = as_number(c, kind), F.lit(None).cast("string")
-        if number is None:
-            number, text = F.lit(None).cast("double"), c.cast("string")
-        parts.append(F.struct(F.lit(name).alias("column"), number.alias("number"), text.alias("text")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, number double, text string, n long")
+        number, whole, text = F.lit(None).cast("double"), as_whole(c, kind), F.lit(None).cast("string")
+        if whole is None and isinstance(kind, T.DecimalType) and kind.precision > 15:
+            text = c.cast("string")
+            wide.append(i)
+        elif whole is None:
+            whole = F.lit(None).cast("long")
+            number = as_number(c, kind)
+            if number is None:
+                number, text = F.lit(None).cast("double"), c.cast("string")
+            else:
+                number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+        parts.append(F.struct(F.lit(i).alias("i"), number.alias("number"), (F.lit(None).cast("long") if whole is None else whole).alias("whole"), text.alias("text")))
     long = df.select(F.explode(F.array(*parts)).alias("v")).select("v.*")
-    finite = F.col("number").isNotNull() & ~F.isnan("number") & (F.abs("number") < float("inf"))
-    return long.where(finite | F.col("text").isNotNull()).groupBy("column", "number", "text").agg(F.count("*").alias("n"))
+    counted = long.where("number IS NOT NULL OR whole IS NOT NULL OR text IS NOT NULL").groupBy("i", "number", "whole", "text").agg(F.count("*").alias("n"))
+    is_wide = F.col("i").isin(wide) if wide else F.lit(False)
+    return counted.select(
+        F.array(*[F.lit(c) for c in columns])[F.col("i")].alias("column"),
+        F.coalesce("number", F.col("whole").cast("double"), F.when(is_wide, F.col("text")).cast("double")).alias("number"),
+        F.when(~is_wide, F.col("text")).alias("text"),
+        F.coalesce(F.col("whole").cast("string"), F.when(is_wide, F.col("text"))).alias("exact"),
+        "n",
+    )
+
+
+def as_whole(column: Column, kind: T.DataType) -> Column | None:
+    """A column as a 64-bit integer that tells all its values apart; None if it has no such form."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return column.cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(column.cast("timestamp"))
+    return None
 
 
 def as_number(column: Column, kind: T.DataType) -> Column | None:
@@ -57,30 +87,50 @@ def as_number(column: Column, kind: T.DataType) -> Column | None:
     return None
 
 
-def quantiles_of_counts(counts: DataFrame, probabilities: list[float], buckets: int = 64) -> DataFrame:
+#: Distinct values of a range that one task ranks.
+RANGE_VALUES = 50_000
+
+
+def quantiles_of_counts(counts: DataFrame, probabilities: list[float], range_values: int = RANGE_VALUES) -> DataFrame:
     """Exact type-7 quantiles per column from ``value_counts``: ``column``, ``probability``, ``value``.
 
-    Values are cut into ``buckets`` ranges per column at approximate quantiles; ranks are running sums within a
-    range plus the sums of the ranges before it, so no task sorts a whole column.
+    A sketch gives cuts between ranges of about ``range_values`` distinct values; sums over the ranges tell which of
+    them hold a wanted rank, and only those are ranked. So no task sorts a whole column, and the ranges grow in number
+    and not in size with the data.
     """
     from pyspark.sql import Window
 
     numbers = counts.where("number IS NOT NULL").select("column", "number", "n")
-    cuts = numbers.groupBy("column").agg(
-        F.percentile_approx("number", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts"), F.sum("n").alias("total")
-    )
-    placed = numbers.join(F.broadcast(cuts), "column").withColumn("bucket", _search(F.col("cuts"), F.col("number"), 0, buckets - 1))
-    sums = placed.groupBy("column", "bucket").agg(F.sum("n").alias("m"))
-    before = sums.withColumn("before", F.sum("m").over(Window.partitionBy("column").orderBy("bucket")) - F.col("m")).select("column", "bucket", "before")
-    within = Window.partitionBy("column", "bucket").orderBy("number")
-    ranked = placed.join(F.broadcast(before), ["column", "bucket"]).withColumn("last", F.col("before") + F.sum("n").over(within) - 1)
+    sizes = {r["column"]: (r["total"], r["d"]) for r in numbers.groupBy("column").agg(F.sum("n").alias("total"), F.count("*").alias("d")).collect()}
+    spark = counts.sparkSession
+    if not sizes:
+        return spark.createDataFrame([], "column string, probability double, value double")
+    ranges = max(1, -(-max(d for _, d in sizes.values()) // range_values))
+    if ranges > 1:
+        cuts = numbers.groupBy("column").agg(F.percentile_approx("number", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("cuts"))
+        placed = numbers.join(F.broadcast(cuts), "column").select("column", "number", "n", _search(F.col("cuts"), F.col("number"), 0, ranges - 1).alias("range") if ranges <= 64 else F.size(F.filter("cuts", lambda c: c < F.col("number"))).alias("range"))
+    else:
+        placed = numbers.withColumn("range", F.lit(0))
+    # which ranges hold a wanted rank, and how many values stand before them
+    ranks = {c: {p: p * (total - 1) for p in map(float, probabilities)} for c, (total, _) in sizes.items()}
+    sums: dict[str, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("column", "range").agg(F.sum("n").alias("m")).collect():
+        sums.setdefault(r["column"], []).append((r["range"], r["m"]))
+    wanted = []
+    for column, own in sums.items():
+        before = 0
+        for k, m in sorted(own):
+            if any(before <= at < before + m for h in ranks[column].values() for at in (int(h // 1), -int(-h // 1))):
+                wanted.append((column, k, before))
+            before += m
+    held = spark.createDataFrame(wanted, "column string, range int, before long")
+    within = Window.partitionBy("column", "range").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(F.broadcast(held), ["column", "range"]).withColumn("last", F.col("before") + F.sum("n").over(within) - 1)
     ranked = ranked.withColumn("first", F.col("last") - F.col("n") + 1)
-    p = F.explode(F.array(*[F.lit(float(x)) for x in probabilities])).alias("probability")
-    wanted = ranked.select("column", "number", "first", "last", "total", p).withColumn("h", F.col("probability") * (F.col("total") - 1))
-    low, high = F.floor("h"), F.ceil("h")
-    hit = wanted.where(((F.col("first") <= low) & (F.col("last") >= low)) | ((F.col("first") <= high) & (F.col("last") >= high)))
-    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("number")))
-    out = hit.groupBy("column", "probability", "h").agg(at(low).alias("a"), at(high).alias("b"))
+    h = spark.createDataFrame([(c, p, h, int(h // 1), -int(-h // 1)) for c, own in ranks.items() for p, h in own.items()], "column string, probability double, h double, low long, high long")
+    low, high = (F.col("first") <= F.col("low")) & (F.col("last") >= F.col("low")), (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("high"))
+    hit = ranked.join(F.broadcast(h), "column").where(low | high)
+    out = hit.groupBy("column", "probability", "h").agg(F.max(F.when(low, F.col("number"))).alias("a"), F.max(F.when(high, F.col("number"))).alias("b"))
     return out.select("column", "probability", (F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
@@ -93,8 +143,12 @@ def _search(cuts: Column, value: Column, low: int, high: int) -> Column:
 
 
 def modes_of_counts(counts: DataFrame) -> DataFrame:
-    """Per column: ``n_distinct``, and the most frequent value (``mode_number`` or ``mode_text``; ties to the smallest) with its frequency ``mode_n``."""
-    smallest = F.min_by(F.struct("number", "text", "n"), F.struct((-F.col("n")).alias("k"), "number", "text"))
-    return counts.groupBy("column").agg(F.count("*").alias("n_distinct"), smallest.alias("m")).select(
-        "column", "n_distinct", F.col("m.number").alias("mode_number"), F.col("m.text").alias("mode_text"), F.col("m.n").alias("mode_n")
+    """Per column: ``n_distinct``, and the most frequent value (``mode_number`` or ``mode_text``, and ``mode_exact``; ties to the smallest) with its frequency ``mode_n``."""
+    most = counts.groupBy("column").agg(F.count("*").alias("n_distinct"), F.max("n").alias("mode_n"))
+    tied = counts.join(F.broadcast(most), "column").where(F.col("n") == F.col("mode_n"))
+    # where the doubles of large integers are equal, the integers decide
+    digits = F.col("exact").cast("decimal(38,0)")
+    smallest = F.min(F.struct("number", digits.alias("digits"), "text", "exact")).alias("m")
+    return tied.groupBy("column", "n_distinct", "mode_n").agg(smallest).select(
+        "column", "n_distinct", F.col("m.number").alias("mode_number"), F.col("m.text").alias("mode_text"), F.col("m.exact").alias("mode_exact"), "mode_n"
     )

@@ -57,8 +57,21 @@ FROM {table}"""
 def profile_lineitem(spark, sf_dir):
     """Numeric column profile: counts, distinct values, mode, moments, median and IQR outliers."""
     rows = profile_columns(_t(spark, sf_dir, "lineitem"), columns=list(_NUMBERS))
-    keep = [(r["column"], r["n"], r["n_missing"], r["n_distinct"], r["min"], r["max"], round(r["mean"], 4), round(r["stddev"], 4), round(r["median"], 4), r["n_zeros"], r["n_negatives"], f"{float(r['mode']):.2f}", r["n_outliers"]) for r in rows]
-    return _rows(spark, keep, "column string, n long, n_missing long, n_distinct long, min double, max double, mean double, stddev double, median double, n_zeros long, n_negatives long, mode string, n_outliers long")
+    keep = [(r["column"], r["n"], r["n_missing"], r["n_distinct"], r["min"], r["max"], r["mean"], r["stddev"], r["median"], r["n_zeros"], r["n_negatives"], f"{float(r['mode']):.2f}", r["n_outliers"]) for r in rows]
+    out = _rows(spark, keep, "column string, n long, n_missing long, n_distinct long, min double, max double, mean double, stddev double, median double, n_zeros long, n_negatives long, mode string, n_outliers long")
+    return out.withColumns({c: _r(F.col(c), 4) for c in ("mean", "stddev", "median")})
+
+
+@_query(
+    """WITH v AS (SELECT 9007199254740992 + CAST(event_id AS BIGINT) * 3 AS big, CASE WHEN event_id % 5 = 0 THEN 9007199254740993 ELSE 9007199254740994 - event_id % 7 END AS low, -9007199254740993 - event_id % 100 AS minus FROM events)
+SELECT name AS "column", count(*) AS n, count(DISTINCT x) AS n_distinct, CAST(min(x) AS VARCHAR) AS min_exact, CAST(max(x) AS VARCHAR) AS max_exact, (SELECT CAST(y AS VARCHAR) FROM (SELECT y, count(*) AS k FROM (SELECT 'big' AS name, big AS y FROM v UNION ALL SELECT 'low', low FROM v UNION ALL SELECT 'minus', minus FROM v) m WHERE m.name = u.name GROUP BY y) ORDER BY k DESC, y LIMIT 1) AS mode
+FROM (SELECT 'big' AS name, big AS x FROM v UNION ALL SELECT 'low', low FROM v UNION ALL SELECT 'minus', minus FROM v) u GROUP BY name"""
+)
+def profile_bigint(spark, sf_dir):
+    """Distinct values, modes and extremes of integers beyond 2^53, which doubles don't tell apart."""
+    v = _t(spark, sf_dir, "events").selectExpr("9007199254740992L + CAST(event_id AS BIGINT) * 3 AS big", "CASE WHEN event_id % 5 = 0 THEN 9007199254740993L ELSE 9007199254740994L - event_id % 7 END AS low", "-9007199254740993L - event_id % 100 AS minus")
+    rows = profile_columns(v)
+    return _rows(spark, [(r["column"], r["n"], r["n_distinct"], r["min_exact"], r["max_exact"], r["mode"]) for r in rows], "column string, n long, n_distinct long, min_exact string, max_exact string, mode string")
 
 
 def _text_sql(table: str, column: str) -> str:
@@ -73,8 +86,8 @@ def profile_text(spark, sf_dir):
     out = []
     for table, names in (("customer", ["c_name", "c_mktsegment"]), ("part", ["p_name", "p_type"])):
         for r in profile_columns(_t(spark, sf_dir, table), columns=names):
-            out.append((f"{table}.{r['column']}", r["n"], r["n_missing"], r["n_distinct"], r["length_min"], r["length_max"], round(r["length_mean"], 4), r["n_blanks"], r["n_border_spaces"], r["mode"]))
-    return _rows(spark, out, "column string, n long, n_missing long, n_distinct long, length_min long, length_max long, length_mean double, n_blanks long, n_border_spaces long, mode string")
+            out.append((f"{table}.{r['column']}", r["n"], r["n_missing"], r["n_distinct"], r["length_min"], r["length_max"], r["length_mean"], r["n_blanks"], r["n_border_spaces"], r["mode"]))
+    return _rows(spark, out, "column string, n long, n_missing long, n_distinct long, length_min long, length_max long, length_mean double, n_blanks long, n_border_spaces long, mode string").withColumn("length_mean", _r(F.col("length_mean"), 4))
 
 
 @_query(
@@ -148,7 +161,7 @@ def profile_by_group(spark, sf_dir):
 def dense_integer_sequence(spark, sf_dir):
     """Density and gaps of an integer column."""
     r = profile_columns(_t(spark, sf_dir, "orders"), columns=["o_orderkey"])[0]
-    return _rows(spark, [(r["n_distinct"], r["sequence_gaps"], round(r["sequence_density"], 6), r["dense_sequence"])], "n_distinct long, sequence_gaps long, sequence_density double, dense_sequence boolean")
+    return _rows(spark, [(r["n_distinct"], r["sequence_gaps"], r["sequence_density"], r["dense_sequence"])], "n_distinct long, sequence_gaps long, sequence_density double, dense_sequence boolean").withColumn("sequence_density", _r(F.col("sequence_density")))
 
 
 @_query()
