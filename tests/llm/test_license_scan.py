@@ -61,13 +61,45 @@ def test_invalid_expressions(text):
     assert L.evaluate(text) == "invalid"
 
 
+def by_regex(text):
+    """Licenses of notices by one regular expression for each phrase, over the words of the text."""
+    text = re.sub(r"(?m)^[^\S\n]*(?:[#*;%|>!]+|//+|--+|/\*+|<!--)(?![a-z0-9])", " ", text.lower())
+    found = []
+    for phrase, license_id in L.PHRASES.items():
+        body = r"[\s\-/,_\"'“”`]+".join(map(re.escape, phrase.split(" ")))
+        found += [(m.start(), m.end(), license_id) for m in re.finditer(rf"(?<![^\W_]){body}(?![^\W_])(?!\.\d)", text)]
+    return {i for s, e, i in found if not any((a, b) != (s, e) and a <= s and e <= b for a, b, _ in found)}
+
+
 def test_scan_against_plain_search():
     machine, rng = L.automaton(), random.Random(9)
-    for _ in range(300):
-        parts = [rng.choice([*L.NOTICES, "some words", "permit license", "x"]) for _ in range(rng.randint(0, 6))]
-        text = rng.choice([" ", ". ", "\n"]).join(parts)
-        want = {v for k, v in L.NOTICES.items() if re.search(rf"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])", text)}
-        assert set((L.scan(text, machine) or ([], [], ""))[0]) == want
+    phrases = [p for p in L.PHRASES]
+    for k in range(300):
+        parts = [rng.choice([rng.choice(phrases), "some words", "permit license", "x", "version 2.7"]) for _ in range(rng.randint(0, 6))]
+        text = rng.choice([". ", "; ", " foo "]).join(parts)
+        # wrapped at random words, with a comment's leader
+        text = "".join(rng.choice(["\n# ", "\n * ", "\n", "  ", "\n// "]) if c == " " and rng.random() < 0.3 else c for c in text)
+        assert set((L.scan(text, machine) or ([], [], ""))[0]) == by_regex(text), text
+
+
+@pytest.mark.parametrize(
+    "text, license_id",
+    [
+        ("permission is hereby granted,\nfree of charge", "mit"), ("/* redistribution and use in source and binary\n *  forms */", "bsd-3-clause"), ("apache license,\n   version 2.0", "apache-2.0"), ("under the bsd-3-clause license", "bsd-3-clause"),
+        ("this is gplv3 code", "gpl-3.0"), ("# gnu general public\n# license version 2\n", "gpl-2.0"), ("gnu lesser general public license version 2.1", "lgpl-2.1"), ("// licensed under cc by-nc 4.0.", "cc-by-nc-4.0"), ("see mpl-2.0", "mpl-2.0"), ("gpl-2.0-or-later", "gpl-2.0"), ("the 'mit' license", "mit"),
+    ],
+)
+def test_wrapped_and_spelled_notices(text, license_id):
+    assert L.scan(text, L.automaton())[0] == [license_id]
+
+
+def test_slash_is_or():
+    assert L.evaluate("MIT/Apache-2.0") == "permissive" and L.evaluate("GPL-2.0/MIT AND Zlib") == "permissive"
+
+
+def test_many_tags_in_a_long_text():
+    text = "spdx-license-identifier: mit\n" * 50_000 + "x" * 1_000_000
+    assert L.scan(text, L.automaton()) == ([], ["mit"], "permissive")
 
 
 def test_table(spark):
