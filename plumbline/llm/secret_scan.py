@@ -1,9 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Candidates are values assigned to credential-like names, and long unbroken tokens with a digit that overlap none of
-these; ``=`` belongs to a token only as padding at its end. A forest over the
+these; ``=`` belongs to a token only as padding at its end. Long tokens are found over whole batches of bytes, names
+by an automaton in texts that have a ``:`` or ``=``. A forest over the
 value's length, character classes and transitions, the share that dictionary words cover, the path (``source``) and
-the neighbouring words then tells keys from hashes, ids, numbers and placeholders. It is trained on labelled findings
+the neighbouring words then tells keys from hashes, ids, numbers and placeholders. The dictionary is made of the whole
+words of a public vocabulary file (``vocabulary``) and words of code and configuration. The forest is trained on labelled findings
 (``value``, ``before``, ``after``, ``path``, ``label``): at most ``max_findings`` of them, taken by hash, enter the
 training. Character transitions come from two bigram models of the labelled values, one for each label. Scoring runs
 over all candidates of all texts, within the JVM.
@@ -12,15 +14,18 @@ Values are never returned: findings carry their place, length and SHA-256.
 
 Defined results: null and empty texts have no candidates. Null ids and paths are allowed (a null path is an empty
 one). Places are in characters from 0. A value found twice at one place counts once, repeated rows each. Without
-labelled findings of both labels the scan refuses to run. Other columns are ignored.
+labelled findings of both labels the scan refuses to run. Other columns are ignored, whatever their names. Texts of any
+length are searched whole.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +33,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
+from plumbline.llm.bpe import VOCABULARY
 from plumbline.llm.common import map_text
 
 MAX_FINDINGS, TREES, DEPTH, THRESHOLD = 20_000, 40, 10, 0.5
 
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-_ASSIGNED = re.compile(r"""(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|credential|auth)[\w-]*["']?\s*(?::=|[:=])\s*["']?([^\s"'<>,;]{6,})""", re.I)
+_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "accesskey", "private_key", "privatekey", "credential", "auth")
+#: What follows a credential's name up to the end of its value.
+_VALUE = re.compile(r"""[\w-]*["']?\s*(?::=|[:=])\s*["']?([^\s"'<>,;]{6,})""")
 _WORD = re.compile(r"[a-z]+")
 #: The next parameter of a query string, which ends an assigned value.
 _NEXT = re.compile(r"&[\w.-]+=")
+#: The bytes of long tokens.
+_TOKEN_BYTE = np.zeros(256, dtype=bool)
+_TOKEN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 
-#: Words whose letters count as covered; frequent in identifiers, paths and placeholder values.
-DICTIONARY = frozenset(
+#: Words of code, configuration and placeholder values, beside those of the vocabulary.
+CODE_WORDS = frozenset(
     "the and for that with this from have your you here are not was all can has more will one new out about use any see only time user name test example sample dummy fake placeholder change changeme default value data "
     "file path key token secret password pass word admin root access private public hash commit version build release config client server host port table index list item order number string text line page image icon style "
     "button label class module package main common util utils service model view controller manager handler factory request response error message event action state store update delete create insert select where group count "
-    "first last next prev start end begin finish open close read write load save send get set add remove hello world lorem ipsum dolor component container".split()
+    "first last next prev start end begin finish open close read write load save send get set add remove hello world lorem ipsum dolor component container localhost auth api url uri http https html json yaml xml sql env prod dev staging".split()
 )
+
+
+@lru_cache(maxsize=4)
+def dictionary(vocabulary: str = VOCABULARY) -> frozenset[str]:
+    """Words of at least four letters that a vocabulary file has as whole words (with the space before them), and those of ``CODE_WORDS``."""
+    with open(vocabulary, "rb") as f:
+        pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+    return CODE_WORDS | {p[1:].decode() for p in pieces if p[:1] == b" " and len(p) > 4 and p[1:].isascii() and p[1:].isalpha() and p[1:].islower()}
+
+
 CREDENTIAL = frozenset("token secret password passwd pwd key apikey api auth credential credentials bearer access private login".split())
 HARMLESS = frozenset("commit sha hash md5 checksum digest uuid guid id example sample dummy test order card phone isbn version revision integrity etag blob image icon number invoice account".split())
 TEST_PATH = re.compile(r"test|example|fixture|mock|sample|docs?\b|vendor|lock", re.I)
@@ -60,15 +81,15 @@ def _entropy(text: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(text).values()) if n else 0.0
 
 
-def coverage(value: str) -> float:
+def coverage(value: str, vocabulary: str = VOCABULARY) -> float:
     """The share of the value's characters that dictionary words of at least 3 letters cover."""
-    covered = 0
+    words, covered = dictionary(vocabulary), 0
     for run in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
         best = [0] * (len(run) + 1)
         for e in range(1, len(run) + 1):
             best[e] = best[e - 1]
-            for n in range(3, min(12, e) + 1):
-                if run[e - n : e] in DICTIONARY:
+            for n in range(3, min(16, e) + 1):
+                if run[e - n : e] in words:
                     best[e] = max(best[e], best[e - n] + n)
         covered += best[-1]
     return covered / max(1, len(value))
@@ -95,7 +116,7 @@ class Transitions:
         return float(self.odds[s[:-1], s[1:]].mean()) if len(s) > 1 else 0.0
 
 
-def features(value: str, before: str, after: str, path: str, transitions: Transitions) -> list[float]:
+def features(value: str, before: str, after: str, path: str, transitions: Transitions, vocabulary: str = VOCABULARY) -> list[float]:
     """One candidate's features."""
     n = max(1, len(value))
     kinds = [_kind(c) for c in value]
@@ -106,7 +127,7 @@ def features(value: str, before: str, after: str, path: str, transitions: Transi
     words = _WORD.findall(before.lower().replace("_", " "))[-6:]
     later = _WORD.findall(after.lower())[:3]
     return [
-        float(len(value)), *share, changes, repeats, runs, _entropy(value), coverage(value), transitions.score(value),
+        float(len(value)), *share, changes, repeats, runs, _entropy(value), coverage(value, vocabulary), transitions.score(value),
         float(all(c in "0123456789abcdef" for c in value)), float(all(c in "0123456789ABCDEF" for c in value)), float(value.isdigit()), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
         float(bool(re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-)", value))), float(value.endswith("=")), float(value.count("/") + value.count("-")),
         float(bool(CREDENTIAL.intersection(words))), float(bool(HARMLESS.intersection(words + later))), float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(bool(TEST_PATH.search(path or ""))),
@@ -121,16 +142,51 @@ def _assigned(value: str) -> str:
     return value
 
 
-def candidates(text: str) -> list[tuple[int, str]]:
-    """Starts and values of a text's candidates, in order. An assigned value wins over long tokens that overlap it."""
-    found = {}
-    for m in _ASSIGNED.finditer(text):
-        value = _assigned(m.group(1))
-        if len(value) >= 6:
-            found[m.start(1)] = value
+@lru_cache(maxsize=1)
+def _names():
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for name in _NAMES:
+        out.add_word(name, len(name))
+    out.make_automaton()
+    return out
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def assigned_values(text: str) -> dict[int, str]:
+    """Starts and values of what is assigned to credential-like names."""
+    found, reached = {}, 0
+    if ":" not in text and "=" not in text:
+        return found
+    low = _lower(text)
+    for end, n in _names().iter(low):
+        # a name within a value that was taken is none
+        if end - n + 1 < reached:
+            continue
+        m = _VALUE.match(text, end + 1)
+        if m:
+            reached = m.end()
+            value = _assigned(m.group(1))
+            if len(value) >= 6:
+                found[m.start(1)] = value
+    return found
+
+
+def candidates(text: str, long: list[tuple[int, int]] | None = None) -> list[tuple[int, str]]:
+    """Starts and values of a text's candidates, in order. An assigned value wins over long tokens that overlap it.
+
+    ``long`` has the starts and ends of the runs of token characters, if they are known.
+    """
+    found = assigned_values(text)
     spans = [(s, s + len(v)) for s, v in sorted(found.items())]
     at = 0
-    for m in _LONG.finditer(text):
+    for m in _LONG.finditer(text) if long is None else (_LONG.match(text, s) for s, _ in long):
         value = m.group().strip("=-/_") if not m.group().endswith("=") else m.group().lstrip("=-/_")
         start = m.start() + m.group().find(value)
         while at < len(spans) and spans[at][1] <= start:
@@ -140,18 +196,45 @@ def candidates(text: str) -> list[tuple[int, str]]:
     return sorted(found.items())
 
 
-def _candidate_batches(transitions: Transitions):
+def long_runs(data: np.ndarray, offsets: np.ndarray, least: int = 16) -> dict[int, list[tuple[int, int]]]:
+    """By text, the starts and ends (in characters) of the runs of at least ``least`` token characters."""
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = _TOKEN_BYTE[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    # a run does not go on into the next text
+    bounds = np.unique(offsets[1:-1])
+    cut = bounds[inside[bounds] & inside[bounds + 1]]
+    starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+    keep = ends - starts >= least
+    starts, ends = starts[keep], ends[keep]
+    out: dict[int, list[tuple[int, int]]] = {}
+    if len(starts):
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        text = np.searchsorted(offsets, starts, side="right") - 1
+        for t, a, b in zip(text.tolist(), (chars[starts] - chars[offsets[text]]).tolist(), (chars[ends] - chars[offsets[text]]).tolist()):
+            out.setdefault(t, []).append((a, b))
+    return out
+
+
+def _candidate_batches(transitions: Transitions, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            _, offsets = tokens.texts_of(batch.column(1))
+            data, offsets = tokens.texts_of(batch.column(1))
             for i, j in tokens.groups(offsets):
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                runs = long_runs(part, own)
+                # texts with neither a long run nor a place where something is assigned have no candidate
+                marks = np.flatnonzero((part == 0x3A) | (part == 0x3D))
+                some = sorted({*runs, *(np.searchsorted(own, marks, side="right") - 1).tolist()})
+                texts, paths = (batch.column(c).slice(i, j - i).take(pa.array(some, pa.int64())).to_pylist() for c in (1, 2))
                 rows: list[tuple] = []
-                for k, (text, path) in enumerate(zip(batch.column(1).slice(i, j - i).to_pylist(), batch.column(2).slice(i, j - i).to_pylist())):
-                    for start, value in candidates(text or ""):
+                for k, text, path in zip(some, texts, paths):
+                    for start, value in candidates(text, runs.get(k, [])):
                         before, after = text[max(0, start - 48) : start], text[start + len(value) : start + len(value) + 32]
-                        rows.append((k, start, len(value), hashlib.sha256(value.encode("utf-8", "replace")).hexdigest(), features(value, before, after, path or "", transitions)))
+                        rows.append((k, start, len(value), hashlib.sha256(value.encode("utf-8", "replace")).hexdigest(), features(value, before, after, path or "", transitions, vocabulary)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i).take(pa.array([r[0] for r in rows], pa.int64())),
@@ -167,10 +250,10 @@ def _candidate_batches(transitions: Transitions):
 
 
 class Model:
-    """A fitted forest with its transition models."""
+    """A fitted forest with its transition models and the dictionary's file."""
 
-    def __init__(self, forest, transitions: Transitions) -> None:
-        self.forest, self.transitions = forest, transitions
+    def __init__(self, forest, transitions: Transitions, vocabulary: str = VOCABULARY) -> None:
+        self.forest, self.transitions, self.vocabulary = forest, transitions, vocabulary
 
     def probability(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``features``) with the probability of being a secret in place of them."""
@@ -180,7 +263,7 @@ class Model:
         return scored.withColumn("probability", vector_to_array("_probability")[1]).drop("features", "_vector", "_raw", "_probability", "_label")
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, max_findings: int = MAX_FINDINGS, seed: int = 7) -> Model:
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, max_findings: int = MAX_FINDINGS, seed: int = 7, vocabulary: str = VOCABULARY) -> Model:
     """Fits the forest to labelled findings (``value``, ``before``, ``after``, ``path``, ``label`` 0 or 1)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
@@ -193,16 +276,16 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, max_findi
     half = rows[0::2] if {r.label for r in rows[0::2]} == {0, 1} else rows
     transitions = Transitions([r.value for r in half], [r.label for r in half])
     fit = rows[1::2] if {r.label for r in rows[1::2]} == {0, 1} else rows
-    made = findings.sparkSession.createDataFrame([(float(r.label), features(r.value, r.before, r.after, r.path, transitions)) for r in fit], "label double, features array<double>")
+    made = findings.sparkSession.createDataFrame([(float(r.label), features(r.value, r.before, r.after, r.path, transitions, vocabulary)) for r in fit], "label double, features array<double>")
     table = made.coalesce(1).select("label", array_to_vector("features").alias("_vector"))
     forest = RandomForestClassifier(labelCol="label", featuresCol="_vector", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_label").fit(table)
-    return Model(forest, transitions)
+    return Model(forest, transitions, vocabulary)
 
 
 def secret_scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Findings that the model confirms: ``doc_id``, ``start``, ``length``, ``sha256``, ``probability``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    found = map_text(rows, _candidate_batches(model.transitions), "doc_id long, start long, length long, sha256 string, features array<double>")
+    found = map_text(rows, _candidate_batches(model.transitions, model.vocabulary), "doc_id long, start long, length long, sha256 string, features array<double>")
     return model.probability(found).where(F.col("probability") >= threshold)
 
 
@@ -216,13 +299,12 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 11) -> Da
 
 def synthetic_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
     """The rows of ``labelled_findings``."""
-    import base64
     import random
     import uuid
 
     rng = random.Random(seed)
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    words = sorted(DICTIONARY)
+    words = sorted(CODE_WORDS)
     text = lambda k: "".join(rng.choice(alnum) for _ in range(k))
     prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
     out = []
