@@ -55,26 +55,35 @@ def parse_with(column: Column, regex: str, pattern: str) -> Column:
 
 def date_format_counts(df: DataFrame, column: str) -> dict:
     """Per format the texts that have it, of the non-blank ones; and rows that only one order of day and month explains."""
-    c = F.col(f"`{column}`")
-    e = {"\0n": F.count(F.when(F.length(F.trim(c)) > 0, 1))}
+    return aggregate(df, format_expressions(F.col(f"`{column}`")))
+
+
+def format_expressions(c: Column, n: Column | None = None) -> dict[str, Column]:
+    """The figures of ``date_format_counts``; ``n`` is the number of rows that a value stands for."""
+    count = lambda flag: F.sum(F.when(flag, F.lit(1) if n is None else n).otherwise(0))
+    e = {"\0n": count(F.length(F.trim(c)) > 0)}
     for name, regex, pattern, _ in DATE_FORMATS:
-        e[name] = F.count(parse_with(c, regex, pattern))
+        e[name] = count(parse_with(c, regex, pattern).isNotNull())
     first = _date_part(c)
-    e["\0day_first"] = F.count(F.when(first.rlike(r"^(?:1[3-9]|2\d|3[01])[/.-]\d{1,2}[/.-]\d{2,4}$"), 1))
-    e["\0month_first"] = F.count(F.when(first.rlike(r"^\d{1,2}[/.-](?:1[3-9]|2\d|3[01])[/.-]\d{2,4}$"), 1))
+    e["\0day_first"] = count(first.rlike(r"^(?:1[3-9]|2\d|3[01])[/.-]\d{1,2}[/.-]\d{2,4}$"))
+    e["\0month_first"] = count(first.rlike(r"^\d{1,2}[/.-](?:1[3-9]|2\d|3[01])[/.-]\d{2,4}$"))
     for name, regex in TIME_SUFFIXES.items():
         if name:
-            e["\0time\0" + name] = F.count(F.when(F.trim(c).rlike(regex + "$"), 1))
-    return aggregate(df, e)
+            e["\0time\0" + name] = count(F.trim(c).rlike(regex + "$"))
+    return e
 
 
 def detect_date_formats(df: DataFrame, column: str) -> list[dict]:
-    """Formats in a text column: ``format``, ``n``, ``share`` and ``state`` (confirmed, candidate, ambiguous).
+    """Formats in a text column: ``format``, ``n``, ``share`` and ``state`` (confirmed, candidate, ambiguous)."""
+    return decide_formats(date_format_counts(df, column))
+
+
+def decide_formats(got: dict) -> list[dict]:
+    """Formats from ``date_format_counts``.
 
     Day-month order is settled by rows that only one order explains; with both kinds of them the column is mixed,
     with neither it is ambiguous. Two-digit years stay candidates.
     """
-    got = date_format_counts(df, column)
     n = got["\0n"]
     out = []
     day, month = got["\0day_first"] > 0, got["\0month_first"] > 0
@@ -122,14 +131,22 @@ def type_flags(column: Column) -> dict[str, Column]:
     }
 
 
+def type_expressions(c: Column, n: Column | None = None) -> dict[str, Column]:
+    """The figures that ``decide_type`` needs; ``n`` is the number of rows that a value stands for."""
+    there = F.length(F.trim(c)) > 0
+    count = lambda flag: F.sum(F.when(flag, F.lit(1) if n is None else n).otherwise(0))
+    e = {"n": count(there), "distinct": F.approx_count_distinct(F.when(there, F.trim(c)))}
+    return e | {k: count(there & f) for k, f in type_flags(c).items()}
+
+
 def infer_type(df: DataFrame, column: str, threshold: float = 0.8, identifier_rate: float = 0.9) -> dict:
     """The implicit type of a text column and the share of values that agree."""
-    c = F.col(f"`{column}`")
-    there = F.length(F.trim(c)) > 0
-    flags = type_flags(c)
-    e = {"n": F.count(F.when(there, 1)), "distinct": F.approx_count_distinct(F.when(there, F.trim(c)))}
-    e |= {k: F.count(F.when(there & f, 1)) for k, f in flags.items()}
-    got = aggregate(df, e)
+    return decide_type(aggregate(df, type_expressions(F.col(f"`{column}`"))), threshold, identifier_rate)
+
+
+def decide_type(got: dict, threshold: float = 0.8, identifier_rate: float = 0.9) -> dict:
+    """The implicit type from the figures of ``type_expressions``."""
+    flags = [k for k in got if k not in ("n", "distinct")]
     n = got["n"]
     if not n:
         return {"type": "unknown", "share": None, "n": 0}

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import encoding, missing, text, types_dates
 from plumbline.operators.profile import Profile
+from plumbline.plans.aggplan import quantiles_of_counts, value_counts
 from plumbline.schemas import NUMERIC, declared_type
 
 
@@ -108,7 +109,8 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 
 def _bounds(df: DataFrame, column: str, factor: float) -> tuple[float, float] | None:
-    q = df.agg(F.percentile(F.col(f"`{column}`").cast("double"), F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    found = quantiles_of_counts(value_counts(df.select(F.col(f"`{column}`").cast("double").alias("v")), ["v"]), [0.25, 0.75]).collect()
+    q = [r["value"] for r in sorted(found, key=lambda r: r["probability"])]
     return (q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0])) if q else None
 
 

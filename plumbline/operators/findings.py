@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,8 +13,8 @@ from plumbline.functions import missing, pii, text, types_dates
 from plumbline.operators import structure
 from plumbline.operators.profile import Profile, profile_columns, table_overview
 from plumbline.operators.stats import top_values
-from plumbline.plans.aggplan import aggregate
-from plumbline.schemas import NUMERIC, declared_type
+from plumbline.plans.aggplan import aggregate, value_counts
+from plumbline.schemas import NUMERIC, TEMPORAL, declared_type
 
 
 def _finding(column, kind, severity, evidence, evaluated, affected, unit="rows") -> dict:
@@ -80,23 +80,31 @@ def column_findings(row: dict, missing_suspicious: float = 0.1, missing_error: f
 
 
 def discover_patterns(df: DataFrame, column: str, distinguish_case: bool = True, expand: bool = False, max_patterns: int = 20, rare: float = 0.05) -> DataFrame:
-    """A column's text shapes: ``pattern``, ``n``, ``share``, up to three ``examples`` (the smallest), ``rare``; most frequent first."""
+    """A column's text shapes: ``pattern``, ``n``, ``share``, ``example`` and up to three ``examples`` (the smallest), ``rare``; most frequent first.
+
+    Where there are more than ``max_patterns`` shapes, ``excluded`` tells how many rows the others have.
+    """
     c = F.col(f"`{column}`").cast("string")
     # values are counted before shapes are made: shapes cost a few regular expressions each
-    values = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-    shapes = values.select(text.pattern(F.col("v"), distinguish_case, expand).alias("pattern"), "v", "n")
-    grouped = shapes.groupBy("pattern").agg(F.sum("n").alias("n"), F.min("v").alias("example"))
-    total = grouped.agg(F.sum("n").alias("total"), F.max("n").alias("top"))
-    out = grouped.crossJoin(F.broadcast(total)).select("pattern", "n", (F.col("n") / F.col("total")).alias("share"), "example", ((F.col("n") / F.col("total") < rare) & (F.col("n") < F.col("top"))).alias("rare"))
-    return out.orderBy(F.desc("n"), "pattern").limit(max_patterns)
-
-
-def case_variants(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Per column the distinct values that differ from another one only in case."""
-    from plumbline.plans.aggplan import value_counts
-
-    lower = value_counts(df, columns).where("text IS NOT NULL").groupBy("column", F.lower("text").alias("l")).agg(F.count("*").alias("n")).where("n > 1")
-    return {r[0]: r[1] for r in lower.groupBy("column").agg(F.sum("n")).collect()}
+    values = df.where(c.isNotNull()).groupBy(c.alias("text")).agg(F.count("*").alias("n")).withColumn("column", F.lit(column))
+    return patterns_of_counts(values, distinguish_case, expand, max_patterns, rare).drop("column").orderBy(F.desc("n"), "pattern")
+
+
+def patterns_of_counts(values: DataFrame, distinguish_case: bool = True, expand: bool = False, max_patterns: int = 20, rare: float = 0.05) -> DataFrame:
+    """The shapes of several columns' counted values (``column``, ``text``, ``n``), as ``discover_patterns`` has them, with their ``column``."""
+    shapes = values.where("text IS NOT NULL").select("column", text.pattern(F.col("text"), distinguish_case, expand).alias("pattern"), F.col("text").alias("v"), "n")
+    least = F.slice(F.array_sort(F.collect_set(F.when(F.col("place") <= 3, F.col("v")))), 1, 3)
+    place = Window.partitionBy("column", "pattern").orderBy("v")
+    grouped = shapes.groupBy("column", "pattern").agg(F.sum("n").alias("n"), F.min("v").alias("example"))
+    total = grouped.groupBy("column").agg(F.sum("n").alias("total"), F.max("n").alias("top"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "pattern")
+    best = grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_patterns)
+    few = shapes.join(F.broadcast(best.select("column", "pattern")), ["column", "pattern"]).withColumn("place", F.row_number().over(place)).where("place <= 3")
+    shown = few.groupBy("column", "pattern").agg(least.alias("examples"))
+    held = best.groupBy("column").agg(F.sum("n").alias("held"))
+    out = best.join(F.broadcast(total), "column").join(F.broadcast(held), "column").join(shown, ["column", "pattern"])
+    share = F.col("n") / F.col("total")
+    return out.select("column", "pattern", "n", share.alias("share"), "example", "examples", ((share < rare) & (F.col("n") < F.col("top"))).alias("rare"), (F.col("total") - F.col("held")).alias("excluded"))
 
 
 @F.pandas_udf(T.StringType())
@@ -105,26 +113,44 @@ def _nfc(values: pd.Series) -> pd.Series:
 
 
 def deep_text_figures(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per text column: values that aren't in composed Unicode form, cells that hold lists, and numbers' units and currencies."""
-    e = {}
-    for n in columns:
-        c = F.col(f"`{n}`")
-        for k, sep in (("comma", ","), ("semicolon", ";"), ("pipe", "|")):
-            e[f"{n}\0n_{k}_lists"] = F.count(F.when(text.multivalued(c, sep), 1))
-        parts = text.number_parts(c)
-        number = c.rlike(text.NUMBER_TEXT)
-        e[f"{n}\0units"] = F.array_sort(F.collect_set(F.when(number & (parts["unit"] != ""), parts["unit"])))
-        e[f"{n}\0currencies"] = F.array_sort(F.collect_set(F.when(number & (parts["currency"] != ""), parts["currency"])))
-        for k in ("ambiguous", "decimal_comma", "decimal_point"):
-            e[f"{n}\0n_{k}"] = F.count(F.when(number & parts[k], 1))
-    out: dict[str, dict] = {n: {} for n in columns}
-    for key, v in aggregate(df, e).items():
-        n, k = key.split("\0")
-        out[n][k] = v
-    for n in columns:
+    """Per text column what its values tell: variants in case and Unicode form, lists in cells, units and currencies, the implicit type, date formats and shapes.
+
+    All columns' values are counted in one shuffle; each figure is one pass over these counts, however many columns there are.
+    """
+    counts = value_counts(df, columns).where("text IS NOT NULL").select("column", "text", "n").persist()
+    try:
+        c, n = F.col("text"), F.col("n")
+        count = lambda flag: F.sum(F.when(flag, n).otherwise(0))
+        number, parts = c.rlike(text.NUMBER_TEXT), text.number_parts(c)
+        e = {f"n_{k}_lists": count(text.multivalued(c, sep)) for k, sep in (("comma", ","), ("semicolon", ";"), ("pipe", "|"))}
+        e |= {k: F.array_sort(F.collect_set(F.when(number & (parts[p] != ""), parts[p]))) for k, p in (("units", "unit"), ("currencies", "currency"))}
+        e |= {f"n_{k}": count(number & parts[k]) for k in ("ambiguous", "decimal_comma", "decimal_point")}
+        e |= {f"type\0{k}": v for k, v in types_dates.type_expressions(c, n).items()} | {f"date\0{k}": v for k, v in types_dates.format_expressions(c, n).items()}
+        keys = list(e)
+        out: dict[str, dict] = {name: {} for name in columns}
+        for r in counts.groupBy("column").agg(*[e[k].alias(f"e{i}") for i, k in enumerate(keys)]).collect():
+            got = {k: r[f"e{i}"] for i, k in enumerate(keys)}
+            own = {k: v for k, v in got.items() if "\0" not in k}
+            inferred = types_dates.decide_type({k[5:]: v for k, v in got.items() if k.startswith("type\0")})
+            own["inferred_type"] = inferred["type"]
+            own["date_formats"] = types_dates.decide_formats({k[5:]: v for k, v in got.items() if k.startswith("date\0")}) if inferred["type"] in ("date", "timestamp", "text", "integer") else []
+            out[r["column"]] = own
         # only values beyond ASCII can change, and each is normalized once
-        values = df.where(F.col(f"`{n}`").rlike(r"[^\x00-\x7F]")).groupBy(F.col(f"`{n}`").alias("v")).agg(F.count("*").alias("n"))
-        out[n]["n_unicode_variants"] = values.where(F.col("v") != _nfc(F.col("v"))).agg(F.sum("n")).first()[0] or 0
+        for r in counts.where(c.rlike(r"[^\x00-\x7F]")).where(c != _nfc(c)).groupBy("column").agg(F.sum("n")).collect():
+            out[r[0]]["n_unicode_variants"] = r[1]
+        variants = counts.groupBy("column", F.lower("text").alias("l")).agg(F.count("*").alias("n")).where("n > 1").groupBy("column").agg(F.sum("n"))
+        for r in variants.collect():
+            out[r[0]]["n_case_variants"] = r[1]
+        for r in sorted(patterns_of_counts(counts).collect(), key=lambda r: (-r["n"], r["pattern"])):
+            out[r["column"]].setdefault("patterns", []).append(r.asDict())
+    finally:
+        counts.unpersist()
+    for own in out.values():
+        own.setdefault("n_unicode_variants", 0)
+        own.setdefault("n_case_variants", 0)
+        own.setdefault("patterns", [])
+        own.setdefault("inferred_type", "unknown")
+        own.setdefault("date_formats", [])
     return out
 
 
@@ -161,47 +187,55 @@ def civil_date_shifts(df: DataFrame) -> list[dict]:
     return [_finding(n, "time_zone_shifts_date", "suspicious", zone, got[f"{n}\0n"], got[f"{n}\0shift"]) for n in names if got[f"{n}\0shift"]]
 
 
-def structure_findings(df: DataFrame, rows: list[dict], p_value: float = 0.01) -> list[dict]:
+def structure_findings(df: DataFrame, rows: list[dict], p_value: float = 0.01, max_arithmetic: int = 8) -> list[dict]:
     """Near keys, arithmetic relations and departures from Benford's law."""
     out = []
     for k in structure.detect_keys(df, 1):
         if k["kind"] == "near_key":
             out.append(_finding(k["columns"][0], "near_key", "suspicious", f"rate={k['rate']:.6f}", k["n_rows"], k["n_rows"] - k["n_distinct"]))
-    for r in structure.detect_arithmetic(df, max_columns=8):
+    for r in structure.detect_arithmetic(df, max_columns=max_arithmetic):
         out.append(_finding(",".join(r["columns"]), "arithmetic_relation", "ok" if not r["n_affected"] else "suspicious", r["kind"], r["n_evaluated"], r["n_affected"]))
-    for row in rows:
-        if row["declared_type"] in NUMERIC and row["n_applicable"] - row["n_missing"] >= 100 and (row.get("min") or 0) > 0 and row["max"] / row["min"] >= 1000:
-            b = structure.benford(df, row["column"])
-            if b["p"] is not None and b["p"] < p_value:
-                out.append(_finding(row["column"], "benford_deviation", "suspicious", f"chi2={b['chi2']:.3f}", b["n"], b["n"]))
+    wide = [row["column"] for row in rows if row["declared_type"] in NUMERIC and row["n_applicable"] - row["n_missing"] >= 100 and (row.get("min") or 0) > 0 and row["max"] / row["min"] >= 1000]
+    for b in structure.benford_all(df, wide):
+        if b["p"] is not None and b["p"] < p_value:
+            out.append(_finding(b["column"], "benford_deviation", "suspicious", f"chi2={b['chi2']:.3f}", b["n"], b["n"]))
     return out
 
 
-def profile(df: DataFrame, name: str = "table", mode: str = "exact", key: list[str] | None = None, applicability: dict | None = None, dependencies: bool = True, protect: bool = True, deep_text: bool = True, **options) -> Profile:
-    """A whole profile: columns, table figures, findings, coverage of what was not measured; personal data masked."""
+def _left_out(df: DataFrame, max_arithmetic: int) -> list[dict]:
+    """Coverage rows of the columns that the limits of the relations' diagnostics leave out."""
+    row = lambda d, c, reason: {"diagnostic": d, "column": c, "reason": reason, "remedy": "name the columns, or raise the limit", "dependency": None}
+    of = lambda *kinds: [n for n in df.columns if declared_type(df.schema[n].dataType) in kinds]
+    out = [row("arithmetic_relation", c, f"beyond the first {max_arithmetic} numeric columns") for c in of(*NUMERIC)[max_arithmetic:]]
+    for kinds in (NUMERIC, TEMPORAL):
+        out += [row("column_order", c, f"beyond the first {structure.MAX_ORDERED} columns of its family") for c in of(*kinds)[structure.MAX_ORDERED :]]
+    out += [row("possible_structural_absence", c, f"beyond the first {structure.MAX_ABSENT} columns") for c in df.columns[structure.MAX_ABSENT :]]
+    return out
+
+
+def profile(df: DataFrame, name: str = "table", mode: str = "exact", key: list[str] | None = None, applicability: dict | None = None, dependencies: bool = True, protect: bool = True, deep_text: bool = True, forbid_zeros: tuple[str, ...] = (), forbid_negatives: tuple[str, ...] = (), max_arithmetic: int = 8, **options) -> Profile:
+    """A whole profile: columns, table figures, findings, coverage of what was not measured; personal data masked.
+
+    Zeros are a finding in the columns of ``forbid_zeros``, negative numbers in those of ``forbid_negatives``.
+    """
     rows = profile_columns(df, mode, applicability=applicability, **options)
     coverage = []
     full = mode == "exact"
     general = table_overview(df) if full else {"n_rows": rows[0]["n"] if rows else 0, "n_columns": len(df.columns)}
     texts = [r["column"] for r in rows if r["declared_type"] == "text"]
     if full and deep_text and texts:
-        variants = case_variants(df, texts)
         figures = deep_text_figures(df, texts)
         for r in rows:
             if r["column"] in texts:
-                r |= {k: v for k, v in figures[r["column"]].items() if k.startswith("n_")}
-                r["n_case_variants"] = variants.get(r["column"], 0)
-                inferred = types_dates.infer_type(df, r["column"])
-                r["inferred_type"] = inferred["type"]
-                r["date_formats"] = types_dates.detect_date_formats(df, r["column"]) if inferred["type"] in ("date", "timestamp", "text", "integer") else []
-    found = [f for r in rows for f in column_findings(r)]
+                r |= {k: v for k, v in figures[r["column"]].items() if k.startswith("n_") or k in ("inferred_type", "date_formats")}
+    found = [f for r in rows for f in column_findings(r, forbid_zeros=r["column"] in forbid_zeros, forbid_negatives=r["column"] in forbid_negatives)]
     if full and deep_text:
         for r in rows:
             if r["column"] in texts:
-                shapes = [x.asDict() for x in discover_patterns(df, r["column"]).collect()] if r.get("n_distinct") else []
-                found += deep_findings(r, figures[r["column"]], shapes)
+                found += deep_findings(r, figures[r["column"]], figures[r["column"]]["patterns"])
     if full:
-        found += civil_date_shifts(df) + structure_findings(df, rows)
+        found += civil_date_shifts(df) + structure_findings(df, rows, max_arithmetic=max_arithmetic)
+        coverage += _left_out(df, max_arithmetic)
         if general["n_surplus"]:
             found.append(_finding(None, "duplicate_rows", "error", "", general["n_rows"], general["n_surplus"]))
         for a, b in structure.duplicate_columns(df):

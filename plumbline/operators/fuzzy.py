@@ -15,6 +15,8 @@ from plumbline.schemas import declared_type
 
 #: Values with more pairs than this need blocking or LSH.
 MAX_PAIRS = 50_000_000
+#: Values of a tile; each pair of tiles is compared by itself.
+TILE = 1_000
 
 
 def record_text(df: DataFrame, columns: list[str], how: Normalization | None = Normalization()) -> Column:
@@ -30,11 +32,17 @@ def near_pairs(values: DataFrame, column: str, method: str = "jw", threshold: fl
     the metric are filtered before any distance is computed.
     """
     v = values.select(F.col(f"`{column}`").alias("v"), (block if block is not None else F.lit(0)).alias("k")).where("v IS NOT NULL").distinct()
-    sizes = v.groupBy("k").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-    if sizes > max_pairs:
-        raise ValueError(f"{sizes:.0f} pairs exceed the limit of {max_pairs}; use blocking or LSH")
-    a, b = v.select(F.col("v").alias("a"), "k"), v.select(F.col("v").alias("b"), F.col("k").alias("k2"))
-    pairs = a.join(b, F.col("k").eqNullSafe(F.col("k2")) & (F.col("a") < F.col("b"))).select("a", "b")
+    sizes = v.groupBy("k").agg(F.count("*").alias("n"))
+    all_pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    if all_pairs > max_pairs:
+        raise ValueError(f"{all_pairs:.0f} pairs exceed the limit of {max_pairs}; use blocking or LSH")
+    # a block is cut into tiles, and each pair of tiles is a key of its own, so that no task has a whole block's pairs
+    tiles = sizes.select(F.col("k").alias("of"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    cut = v.join(tiles, F.col("k").eqNullSafe(F.col("of"))).select("v", "k", "tiles", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int").alias("tile"))
+    a = cut.select(F.col("v").alias("x"), "k", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"))
+    b = cut.select(F.col("v").alias("y"), F.col("k").alias("k2"), F.explode(F.sequence(F.lit(0), "tile")).alias("i2"), F.col("tile").alias("j2"))
+    met = F.col("k").eqNullSafe(F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    pairs = a.join(b, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     if method == "jw":
         # Jaro is at most (2 + shorter/longer) / 3, and the prefix bonus closes at most 4 p of the rest
         short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
@@ -67,7 +75,7 @@ def detect_near_duplicates(
 ) -> DataFrame:
     """Pairs of distinct record texts that are near: ``a``, ``b``, ``distance``, with the numbers of rows ``n_a`` and ``n_b``.
 
-    ``strategy`` is exact, lsh, or auto: exact up to ``max_pairs`` pairs, then lsh.
+    ``strategy`` is exact, lsh, or auto: exact up to ``max_pairs`` pairs, then lsh; the column ``strategy`` tells which of them ran.
     """
     if columns is None:
         columns = [n for n in df.columns if declared_type(df.schema[n].dataType) == "text"]
@@ -89,7 +97,7 @@ def detect_near_duplicates(
     else:
         pairs = lsh_pairs(values, "v", bands, rows).withColumn("distance", distance(F.col("a"), F.col("b"), method, p)).where(F.col("distance") <= threshold)
     n = texts.groupBy("v").agg(F.sum("n").alias("n"))
-    return pairs.join(n.select(F.col("v").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("v").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "distance", "n_a", "n_b")
+    return pairs.join(n.select(F.col("v").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("v").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "distance", "n_a", "n_b", F.lit(strategy).alias("strategy"))
 
 
 def exact_duplicates(df: DataFrame, columns: list[str], how: Normalization = Normalization()) -> dict:
@@ -118,15 +126,15 @@ def numeric_signature(column: Column) -> Column:
     return F.transform(F.regexp_extract_all(column, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0)), lambda x: F.regexp_replace(F.regexp_replace(x, r"[.,]", ""), r"^0+(?=\d)", ""))
 
 
-def vocabulary_variants(df: DataFrame, column: str, threshold: float = 0.10, how: Normalization = Normalization(), max_values: int = 5_000, min_ratio: float = 1.0) -> DataFrame:
+def vocabulary_variants(df: DataFrame, column: str, threshold: float = 0.10, how: Normalization = Normalization(), max_pairs: int = MAX_PAIRS, min_ratio: float = 1.0) -> DataFrame:
     """Stars of variants in a column's vocabulary: each value with the strictly more frequent near value it belongs to.
 
     Numbers in both must be the same. Returns ``value``, ``n``, ``hub``, ``hub_n``, ``distance`` (0 when only
-    normalization differs).
+    normalization differs). The whole vocabulary is compared; one of more than ``max_pairs`` pairs is an error.
     """
     counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n"))
-    words = counts.orderBy("value").limit(max_values).withColumn("v", normalize(F.col("value"), how))
-    pairs = near_pairs(words, "v", "jw", threshold)
+    words = counts.withColumn("v", normalize(F.col("value"), how))
+    pairs = near_pairs(words, "v", "jw", threshold, max_pairs=max_pairs)
     pairs = pairs.unionByName(words.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(0.0).alias("distance")).distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance").where("a <> b"))
     x = words.select("value", "n", F.col("v").alias("a"))

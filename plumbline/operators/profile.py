@@ -101,14 +101,11 @@ def column_expressions(df: DataFrame, name: str, groups: tuple[str, ...], applic
     yes, no, unknown, outside = missing.applicability(applicable, raw, kind)
     c = raw if applicable is None else F.when(yes, raw)
     lost = missing.is_missing(c, kind)
-    out = {
-        "n": F.count(F.lit(1)),
-        "n_applicable": _count(yes),
-        "n_not_applicable": _count(no),
-        "n_undetermined": _count(unknown),
-        "n_present_outside": _count(outside),
-        "n_missing": _count(yes & lost),
-    }
+    if applicable is None:
+        # all rows are: nothing but the rows is to be counted, once for all columns
+        out = {"n_missing": _count(lost)}
+    else:
+        out = {"n_applicable": _count(yes), "n_not_applicable": _count(no), "n_undetermined": _count(unknown), "n_present_outside": _count(outside), "n_missing": _count(yes & lost)}
     if declared == "text":
         out["n_disguised_text"] = _count(missing.is_text_sentinel(c) & (F.length(F.trim(c)) > 0))
         out["n_disguised_number"] = _count(F.coalesce(F.trim(c).try_cast("double").isin(*number_sentinels), F.lit(False)))
@@ -189,8 +186,10 @@ def profile_columns(
             number = as_number(c, kind)
             if number is not None and declared_type(kind) in NUMERIC:
                 expressions[f"{n}\0quartiles"] = F.percentile_approx(_finite(c, kind), [0.25, 0.5, 0.75], 10_000)
-    values = aggregate(source, expressions)
-    rows = {n: {"column": n, "declared_type": declared_type(df.schema[n].dataType), "state": "computed"} for n in names}
+    values = aggregate(source, expressions | {"\0n": F.count(F.lit(1))})
+    n_rows = values.pop("\0n")
+    every = {"n": n_rows, "n_applicable": n_rows, "n_not_applicable": 0, "n_undetermined": 0, "n_present_outside": 0}
+    rows = {n: {"column": n, "declared_type": declared_type(df.schema[n].dataType), "state": "computed"} | every for n in names}
     for key, v in values.items():
         n, k = key.split("\0")
         rows[n][k] = v

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.missing import is_missing
-from plumbline.plans.aggplan import aggregate, quantiles_of_counts, value_counts
+from plumbline.plans.aggplan import aggregate, quantiles_of_counts, ranks_of_counts, value_counts
 from plumbline.schemas import NUMERIC, declared_type
 
 QUARTILES = tuple(k / 4 for k in range(5))
@@ -37,13 +37,35 @@ def value_distribution(df: DataFrame, k: int = 20, probabilities: list[float] =
     return top_values(df, None, k), quantiles(df, None, probabilities)
 
 
-def _average_ranks(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each column's average ranks, added as ``rank_<i>``."""
+def _with_ranks(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with each column's average ranks as ``rank_<i>``; ranks are made for all columns together, by ranges of values."""
+    ranks = ranks_of_counts(value_counts(df, names))
     out = df
     for i, n in enumerate(names):
-        counts = df.where(F.col(n).isNotNull()).groupBy(n).agg(F.count("*").alias("_n"))
-        ranked = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(n))).select(F.col(n).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"rank_{i}"))
-        out = out.join(ranked, F.col(n) == F.col("_v"), "left").drop("_v")
+        own = ranks.where(F.col("column") == n).select(F.col("number").alias(f"value_{i}"), F.col("rank").alias(f"rank_{i}"))
+        out = out.join(own, F.col(n) == F.col(f"value_{i}"), "left")
+    return out.select([f"rank_{i}" for i in range(len(names))])
+
+
+def _spearman(df: DataFrame, names: list[str]) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """Spearman's coefficient of each pair over its complete rows: at once for the columns without gaps, and by pair for the others."""
+    out: dict[tuple[str, str], tuple[int, float | None]] = {}
+    # zero has one form, and what is not finite is a gap
+    clean = {n: F.col(f"`{n}`").cast("double") for n in names}
+    clean = {n: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.when(c == 0, 0.0).otherwise(c)) for n, c in clean.items()}
+    named = {n: f"v{i}" for i, n in enumerate(names)}
+    rows = df.select(*[c.alias(named[n]) for n, c in clean.items()])
+    held = aggregate(rows, {n: F.count(v) for n, v in named.items()} | {"\0n": F.count(F.lit(1))})
+    full = [n for n in names if held[n] == held["\0n"]]
+    groups = [full] if len(full) > 1 else []
+    groups += [[a, b] for a, b in combinations(names, 2) if not (a in full and b in full)]
+    for group in groups:
+        part = rows.select([named[n] for n in group]).dropna()
+        ranked = _with_ranks(part, [named[n] for n in group])
+        at = {n: f"rank_{i}" for i, n in enumerate(group)}
+        e = {f"{a}\0{b}": F.corr(at[a], at[b]) for a, b in combinations(group, 2)}
+        got = aggregate(ranked, e | {"\0n": F.count(F.lit(1))})
+        out |= {(a, b): (got["\0n"], got[f"{a}\0{b}"]) for a, b in combinations(group, 2)}
     return out
 
 
@@ -55,12 +77,8 @@ def correlations(df: DataFrame, columns: list[str] | None = None, method: str =
     if len(names) < 2:
         return spark.createDataFrame([], schema)
     if method == "spearman":
-        rows = []
-        for a, b in combinations(names, 2):
-            pair = df.select(F.col(f"`{a}`").cast("double").alias("a"), F.col(f"`{b}`").cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b)")
-            r = _average_ranks(pair, ["a", "b"]).agg(F.count("*"), F.corr("rank_0", "rank_1")).first()
-            rows.append((a, b, method, r[0], r[1] if r[0] >= min_rows else None))
-        return spark.createDataFrame(rows, schema)
+        got = _spearman(df, names)
+        return spark.createDataFrame([(a, b, method, n, value if n >= min_rows else None) for a, b in combinations(names, 2) for n, value in [got[a, b]]], schema)
     e = {}
     clean = {n: F.when(~F.isnan(F.col(f"`{n}`").cast("double")), F.col(f"`{n}`").cast("double")) for n in names}
     for a, b in combinations(names, 2):
@@ -97,7 +115,10 @@ def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def detect_associations(df: DataFrame, threshold: float = 0.3, method: str = "pearson", max_columns: int = 50, max_levels: int = 50, max_pairs: int = 500) -> DataFrame:
-    """Associations of at least ``threshold``: numbers by correlation, categories by Cramér's V, mixed pairs by eta squared."""
+    """Associations of at least ``threshold``: numbers by correlation, categories by Cramér's V, mixed pairs by eta squared.
+
+    ``association_coverage`` tells which columns the limits leave out.
+    """
     names = df.columns[:max_columns]
     numeric = [n for n in names if declared_type(df.schema[n].dataType) in NUMERIC]
     other = [n for n in names if declared_type(df.schema[n].dataType) in ("text", "boolean")]
@@ -111,6 +132,18 @@ def detect_associations(df: DataFrame, threshold: float = 0.3, method: str = "pe
     return out.where(F.abs("value") >= threshold).orderBy(F.desc(F.abs("value")), "a", "b").limit(max_pairs)
 
 
+def association_coverage(df: DataFrame, max_columns: int = 50, max_levels: int = 50, max_pairs: int = 500) -> list[dict]:
+    """The columns that ``detect_associations`` leaves out with these limits, and why."""
+    row = lambda c, reason, remedy: {"diagnostic": "associations", "column": c, "reason": reason, "remedy": remedy, "dependency": None}
+    out = [row(c, f"beyond the first {max_columns} columns", "max_columns") for c in df.columns[max_columns:]]
+    names = df.columns[:max_columns]
+    numeric = [n for n in names if declared_type(df.schema[n].dataType) in NUMERIC]
+    out += [row(c, f"beyond {max_pairs} pairs of numbers", "max_pairs") for c in numeric[int((2 * max_pairs) ** 0.5) + 1 :]]
+    other = [n for n in names if declared_type(df.schema[n].dataType) in ("text", "boolean")]
+    sizes = aggregate(df, {n: F.approx_count_distinct(F.col(f"`{n}`")) for n in other}) if other else {}
+    return out + [row(c, f"more than {max_levels} levels", "max_levels") for c in other if sizes[c] > max_levels]
+
+
 def weekday_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per ISO weekday of a date or time column."""
     day = (F.weekday(F.col(f"`{column}`")) + 1).alias("weekday")

@@ -19,6 +19,10 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+#: Columns of a family that are compared for order, and columns whose absence is explained; profiles tell which ones are left out.
+MAX_ORDERED, MAX_ABSENT = 20, 40
+
+
 def _fingerprint(names: list[str]) -> Column:
     """A 128-bit row fingerprint of some columns, in which null is a value of its own."""
     values = [_col(n) for n in names]
@@ -155,7 +159,7 @@ def _ordered(df: DataFrame, columns: list[str] | None, families: tuple[str, ...]
     return [n for n in (columns or df.columns) if declared_type(df.schema[n].dataType) in families][:limit]
 
 
-def detect_order(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.95, overlap: float = 0.1, max_columns: int = 20) -> list[dict]:
+def detect_order(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.95, overlap: float = 0.1, max_columns: int = MAX_ORDERED) -> list[dict]:
     """Pairs of columns with a at most b in nearly all complete rows, though not all; compared only if their middle halves overlap."""
     out = []
     for families in (NUMERIC, TEMPORAL):
@@ -245,11 +249,23 @@ def first_digit(column: Column) -> Column:
 
 def benford(df: DataFrame, column: str, min_positive: int = 100, min_orders: float = 3.0) -> dict:
     """Leading digits against Benford's law: chi-square (8 degrees of freedom) and its p-value, if the preconditions hold."""
+    return benford_all(df, [column], min_positive, min_orders)[0]
+
+
+def benford_all(df: DataFrame, columns: list[str], min_positive: int = 100, min_orders: float = 3.0) -> list[dict]:
+    """``benford`` of several columns at once."""
+    got = aggregate(df, {f"{n}\0{k}": v for n in columns for k, v in _digit_expressions(n).items()}) if columns else {}
+    return [_benford_of(n, {k.partition("\0")[2]: v for k, v in got.items() if k.startswith(f"{n}\0")}, min_positive, min_orders) for n in columns]
+
+
+def _digit_expressions(column: str) -> dict[str, Column]:
     c = _col(column).cast("double")
     digit = first_digit(c)
     e = {"n": F.count(c), "positive": F.count(F.when(c > 0, 1)), "low": F.min(F.when(c > 0, c)), "high": F.max(c), "distinct": F.approx_count_distinct(c), "whole": F.count(F.when(c == F.floor(c), 1))}
-    e |= {f"d{k}": F.count(F.when(digit == k, 1)) for k in range(1, 10)}
-    r = aggregate(df, e)
+    return e | {f"d{k}": F.count(F.when(digit == k, 1)) for k in range(1, 10)}
+
+
+def _benford_of(column: str, r: dict, min_positive: int, min_orders: float) -> dict:
     out = {"column": column, "n": r["n"], "digits": [r[f"d{k}"] for k in range(1, 10)], "chi2": None, "p": None, "reason": None}
     if r["n"] < 50 or r["positive"] < min_positive:
         out["reason"] = "too_few_values"
@@ -269,7 +285,7 @@ def benford(df: DataFrame, column: str, min_positive: int = 100, min_orders: flo
 
 
 def structural_absence(
-    df: DataFrame, columns: list[str] | None = None, determination: float = 0.99, max_levels: int = 20, min_per_level: int = 5, min_rows: int = 30, min_missing: int = 10, min_missing_rate: float = 0.05, max_columns: int = 40, max_determinants: int = 30, exclusive_coverage: float = 0.95, exclusive_overlap: float = 0.01
+    df: DataFrame, columns: list[str] | None = None, determination: float = 0.99, max_levels: int = 20, min_per_level: int = 5, min_rows: int = 30, min_missing: int = 10, min_missing_rate: float = 0.05, max_columns: int = MAX_ABSENT, max_determinants: int = 30, exclusive_coverage: float = 0.95, exclusive_overlap: float = 0.01
 ) -> list[dict]:
     """Columns whose absence another column's level determines, and pairs of columns that exclude each other.
 

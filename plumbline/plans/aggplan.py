@@ -91,6 +91,38 @@ def as_number(column: Column, kind: T.DataType) -> Column | None:
 RANGE_VALUES = 50_000
 
 
+def in_ranges(numbers: DataFrame, sizes: dict[str, tuple[int, int]], range_values: int = RANGE_VALUES) -> DataFrame:
+    """``column``, ``number``, ``n`` with the ``range`` of its column that a number is in: cuts come from a sketch, so that ranges have about ``range_values`` distinct values and grow in number with the data."""
+    ranges = max(1, -(-max(d for _, d in sizes.values()) // range_values))
+    if ranges == 1:
+        return numbers.withColumn("range", F.lit(0))
+    cuts = numbers.groupBy("column").agg(F.percentile_approx("number", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("cuts"))
+    at = _search(F.col("cuts"), F.col("number"), 0, ranges - 1) if ranges <= 64 else F.size(F.filter("cuts", lambda c: c < F.col("number")))
+    return numbers.join(F.broadcast(cuts), "column").select("column", "number", "n", at.alias("range"))
+
+
+def column_sizes(numbers: DataFrame) -> dict[str, tuple[int, int]]:
+    """Each column's rows and distinct values."""
+    return {r["column"]: (r["total"], r["d"]) for r in numbers.groupBy("column").agg(F.sum("n").alias("total"), F.count("*").alias("d")).collect()}
+
+
+def ranks_of_counts(counts: DataFrame, range_values: int = RANGE_VALUES) -> DataFrame:
+    """The average rank of each number in its column: ``column``, ``number``, ``rank``; no task sorts a whole column."""
+    from pyspark.sql import Window
+
+    numbers = counts.where("number IS NOT NULL").groupBy("column", "number").agg(F.sum("n").alias("n"))
+    sizes = column_sizes(numbers)
+    if not sizes:
+        return counts.sparkSession.createDataFrame([], "column string, number double, rank double")
+    placed = in_ranges(numbers, sizes, range_values)
+    # as many rows as there are ranges
+    sums = placed.groupBy("column", "range").agg(F.sum("n").alias("m"))
+    before = sums.select("column", "range", (F.sum("m").over(Window.partitionBy("column").orderBy("range")) - F.col("m")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("column", "range").orderBy("number"))
+    ranked = placed.withColumn("upto", upto).join(F.broadcast(before), ["column", "range"])
+    return ranked.select("column", "number", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
 def quantiles_of_counts(counts: DataFrame, probabilities: list[float], range_values: int = RANGE_VALUES) -> DataFrame:
     """Exact type-7 quantiles per column from ``value_counts``: ``column``, ``probability``, ``value``.
 
@@ -101,16 +133,10 @@ def quantiles_of_counts(counts: DataFrame, probabilities: list[float], range_val
     from pyspark.sql import Window
 
     numbers = counts.where("number IS NOT NULL").select("column", "number", "n")
-    sizes = {r["column"]: (r["total"], r["d"]) for r in numbers.groupBy("column").agg(F.sum("n").alias("total"), F.count("*").alias("d")).collect()}
-    spark = counts.sparkSession
+    sizes, spark = column_sizes(numbers), counts.sparkSession
     if not sizes:
         return spark.createDataFrame([], "column string, probability double, value double")
-    ranges = max(1, -(-max(d for _, d in sizes.values()) // range_values))
-    if ranges > 1:
-        cuts = numbers.groupBy("column").agg(F.percentile_approx("number", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("cuts"))
-        placed = numbers.join(F.broadcast(cuts), "column").select("column", "number", "n", _search(F.col("cuts"), F.col("number"), 0, ranges - 1).alias("range") if ranges <= 64 else F.size(F.filter("cuts", lambda c: c < F.col("number"))).alias("range"))
-    else:
-        placed = numbers.withColumn("range", F.lit(0))
+    placed = in_ranges(numbers, sizes, range_values)
     # which ranges hold a wanted rank, and how many values stand before them
     ranks = {c: {p: p * (total - 1) for p in map(float, probabilities)} for c, (total, _) in sizes.items()}
     sums: dict[str, list[tuple[int, int]]] = {}
