@@ -157,17 +157,19 @@ def profile_columns(
     iqr_factor: float = 1.5,
     fraction: float = 0.1,
     seed: int = 42,
+    optional: list[str] | None = None,
 ) -> list[dict]:
     """The columns' profile rows, as dicts in the table's column order.
 
     ``exact`` computes all; ``safe`` nothing that sorts or groups; ``counts`` only counts; ``sampled`` all on a
     Bernoulli sample, with counts scaled to the table (distinct counts are not); ``approximate`` uses sketches for
     distinct counts and medians, so nothing but one row is shuffled. What a mode doesn't measure is None, never 0.
+    The universe of an ``optional`` column is its present cells.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     groups, names = MODES[mode], columns or df.columns
-    applicability = applicability or {}
+    applicability = {n: F.col(f"`{n}`").isNotNull() for n in optional or []} | (applicability or {})
     total = None
     source = df
     if mode == "sampled":

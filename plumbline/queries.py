@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import pii, text, types_dates, validators
 from plumbline.operators import aggregate as A
-from plumbline.operators import clean, findings, fuzzy, stats, structure
+from plumbline.operators import clean, evidence, findings, fuzzy, stats, structure, vocabulary
 from plumbline.operators import metrics as M
 from plumbline.operators.profile import profile_by, profile_columns, table_overview
 
@@ -709,3 +709,145 @@ def profile_findings(spark, sf_dir):
     """The findings of a whole profile."""
     p = findings.profile(_t(spark, sf_dir, "orders"), "orders", deep_text=False)
     return _rows(spark, [(f["column"], f["finding"], f["severity"], f["n_evaluated"], f["n_affected"]) for f in p.findings], "column string, finding string, severity string, n_evaluated long, n_affected long")
+
+
+# vocabularies, guards and evidence
+
+
+_FORMS_SQL = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || 'S' WHEN o_orderkey % 97 = 0 THEN upper(o_orderpriority) ELSE o_orderpriority END AS v FROM orders"
+_NEAR_SQL = f"f AS ({_FORMS_SQL}), c AS (SELECT v, count(*) AS n FROM f GROUP BY v), p AS (SELECT a.v AS a, b.v AS b, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.v < b.v AND levenshtein(a.v, b.v) <= 1)"
+
+
+def _forms(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderpriority, 'S') WHEN o_orderkey % 97 = 0 THEN upper(o_orderpriority) ELSE o_orderpriority END AS v")
+
+
+@_query(f"WITH {_NEAR_SQL} SELECT a, b, n_a, n_b FROM p WHERE greatest(n_a, n_b) <= 3 * least(n_a, n_b)")
+def vocabulary_equifrequent(spark, sf_dir):
+    """Near forms of a vocabulary of which neither is much more frequent."""
+    return vocabulary.equifrequent_variants(_forms(spark, sf_dir), "v", "lv", 1, 3.0).select("a", "b", "n_a", "n_b")
+
+
+@_query(
+    f"""WITH RECURSIVE {_NEAR_SQL}, e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT x AS value, x AS "group" FROM e UNION SELECT r.value, e.y FROM r JOIN e ON r."group" = e.x),
+m AS (SELECT value, min("group") AS "group" FROM r GROUP BY value) SELECT m.value, c.n, m."group", count(*) OVER (PARTITION BY m."group") AS size FROM m JOIN c ON m.value = c.v"""
+)
+def vocabulary_groups(spark, sf_dir):
+    """Values of a vocabulary that near pairs connect."""
+    return vocabulary.vocabulary_components(_forms(spark, sf_dir), "v", "lv", 1)
+
+
+@_query(
+    """WITH v AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN left(n_name, length(n_name) - 1) WHEN s_suppkey % 7 = 0 THEN n_name || 'XX' ELSE n_name END AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT value, count(*) AS n FROM v WHERE value NOT IN (SELECT n_name FROM nation) GROUP BY value), d AS (SELECT value, n, n_name AS reference, levenshtein(value, n_name) AS distance FROM c, nation),
+m AS (SELECT *, min(distance) OVER (PARTITION BY value) AS least FROM d WHERE distance <= 2) SELECT value, n, reference, CAST(distance AS DOUBLE) AS distance FROM m WHERE distance = least"""
+)
+def reference_proximity(spark, sf_dir):
+    """The nearest reference values of values that are in none."""
+    s, n = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation")
+    v = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("CASE WHEN s_suppkey % 4 = 0 THEN left(n_name, length(n_name) - 1) WHEN s_suppkey % 7 = 0 THEN concat(n_name, 'XX') ELSE n_name END AS value")
+    return vocabulary.nearest_references(v, "value", n, "n_name").withColumn("distance", F.col("distance").cast("double"))
+
+
+@_query("WITH v AS (SELECT DISTINCT lower(c_name) AS v FROM customer WHERE c_custkey <= 400), p AS (SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON a.v < b.v AND levenshtein(a.v, b.v) <= 1) SELECT count(*) AS n_pairs, count(*) FILTER (left(a, 17) <> left(b, 17)) AS n_lost, round(count(*) FILTER (left(a, 17) <> left(b, 17)) / count(*), 6) AS loss FROM p")
+def blocking_loss(spark, sf_dir):
+    """Near pairs that a block would lose."""
+    df = _t(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.lower("c_name").alias("v"))
+    return vocabulary.blocking_loss(df, "v", F.substring("value", 1, 17)).withColumn("loss", _r(F.col("loss")))
+
+
+@_query(
+    """WITH p AS (SELECT p_name AS a, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' x' WHEN 2 THEN p_name || 's' ELSE 'zq ' || array_to_string(string_split(p_name, ' ')[2:], ' ') END AS b FROM part),
+t AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM p), d AS (SELECT a, b, x, y, list_filter(list_zip(x, y), lambda z: z[1] <> z[2]) AS df FROM t),
+w AS (SELECT *, list_filter(df, lambda z: (length(z[1]) >= 2 AND length(z[2]) >= 2 AND (left(z[1], 2) = left(z[2], 2) OR right(z[1], 2) = right(z[2], 2))) OR contains(z[1], z[2]) OR contains(z[2], z[1])) AS ins FROM d)
+SELECT CASE WHEN len(x) <> len(y) THEN 'mixed' WHEN len(x) = 1 THEN 'single_token' WHEN len(df) = 0 THEN 'none' WHEN len(ins) = len(df) THEN 'within_word' WHEN len(ins) = 0 THEN 'whole_token' ELSE 'mixed' END AS difference, count(*) AS n FROM w GROUP BY 1"""
+)
+def difference_classes(spark, sf_dir):
+    """How pairs of texts differ."""
+    b = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' x') WHEN 2 THEN concat(p_name, 's') ELSE concat('zq ', array_join(slice(split(p_name, ' '), 2, 100), ' ')) END")
+    return _t(spark, sf_dir, "part").select(vocabulary.difference_class(F.col("p_name"), b).alias("difference")).groupBy("difference").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT 'big' AS \"column\", CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(min(9007199254740993 + event_id) AS VARCHAR) AS min_exact, CAST(max(9007199254740993 + event_id) AS VARCHAR) AS max_exact, 'integer_beyond_double' AS reason FROM events")
+def impossible_values(spark, sf_dir):
+    """Figures that can't be are not published, with the reason."""
+    rows = profile_columns(_t(spark, sf_dir, "events").selectExpr("9007199254740993L + event_id AS big"), mode="safe")
+    out, why = evidence.guard_impossible(rows[0])
+    return _rows(spark, [(out["column"], out["min"], out["max"], out["min_exact"], out["max_exact"], why[0]["reason"])], "column string, min double, max double, min_exact string, max_exact string, reason string")
+
+
+@_query("SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 <> 0) AS n_applicable, count(*) FILTER (o_orderkey % 5 = 0) AS n_not_applicable, 0 AS n_missing FROM orders")
+def optional_column(spark, sf_dir):
+    """An optional column's universe is its present cells."""
+    df = _t(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS v")
+    r = profile_columns(df, mode="counts", optional=["v"])[0]
+    return _rows(spark, [(r["n"], r["n_applicable"], r["n_not_applicable"], r["n_missing"])], "n long, n_applicable long, n_not_applicable long, n_missing long")
+
+
+@_query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || '\\t' || '<U+200B>' WHEN 1 THEN '<U+FEFF>' || event_type WHEN 2 THEN event_type || '<U+0007>\\n' ELSE event_type END AS shown FROM events")
+def visible_evidence(spark, sf_dir):
+    """Invisible characters of evidence written out."""
+    v = F.when(F.col("event_id") % 5 == 0, F.concat("event_type", F.lit("\t​"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit("﻿"), "event_type")).when(F.col("event_id") % 5 == 2, F.concat("event_type", F.lit("\x07\n"))).otherwise(F.col("event_type"))
+    return _t(spark, sf_dir, "events").select("event_id", evidence.visible(v).alias("shown"))
+
+
+@_query("SELECT 'o_orderdate' AS \"column\", count(d) AS n, count(*) FILTER (d < DATE '1900-01-01') AS n_before, count(*) FILTER (d > DATE '1995-06-30') AS n_after, 'error' AS severity FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN CAST(o_orderdate - INTERVAL 100 YEAR AS DATE) ELSE CAST(o_orderdate AS DATE) END AS d FROM orders)")
+def birth_dates(spark, sf_dir):
+    """Birth dates out of range, counted without telling them."""
+    import datetime
+
+    df = _t(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 50 = 0 THEN CAST(o_orderdate AS DATE) - INTERVAL 100 YEAR ELSE CAST(o_orderdate AS DATE) END AS o_orderdate")
+    return evidence.birth_date_range(df, "o_orderdate", datetime.date(1995, 6, 30))
+
+
+@_query("SELECT 'v' AS \"column\", 'rule_silences_absence' AS finding, count(*) AS n_rows, count(*) FILTER (o_orderkey % 7 <> 0 OR o_orderstatus <> 'F') AS n_absent, count(*) FILTER (o_orderstatus = 'F') AS n_applicable, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 7 <> 0) AS n_absent_applicable FROM orders")
+def silenced_absence(spark, sf_dir):
+    """Columns that a declared rule keeps from counting as incomplete."""
+    df = _t(spark, sf_dir, "orders").selectExpr("o_orderstatus", "CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus = 'F' THEN 1 END AS v", "o_totalprice AS full")
+    found = evidence.silenced_absence(df, {"v": "o_orderstatus = 'F'", "full": "o_orderstatus = 'F'"})
+    return _rows(spark, [(r["column"], r["finding"], r["n_rows"], r["n_absent"], r["n_applicable"], r["n_absent_applicable"]) for r in found], "column string, finding string, n_rows long, n_absent long, n_applicable long, n_absent_applicable long")
+
+
+@_query(
+    """WITH r AS (SELECT CAST(l_quantity AS DOUBLE) AS x, (l_quantity >= 31) <> (l_orderkey % 1000 = 0) AS gone FROM lineitem), c AS (SELECT x, count(*) AS n, count(*) FILTER (gone) AS g FROM r GROUP BY x), t AS (SELECT sum(n) AS n, sum(g) AS g FROM c),
+k AS (SELECT a.x AS cut, sum(b.n) FILTER (b.x < a.x) AS un, sum(b.g) FILTER (b.x < a.x) AS ug FROM c a, c b GROUP BY a.x), s AS (SELECT cut, CAST(t.g - coalesce(ug, 0) + coalesce(un, 0) - coalesce(ug, 0) AS BIGINT) AS n_right, CAST(t.n AS BIGINT) AS n, coalesce(un, 0) AS un FROM k, t)
+SELECT '>=' AS sense, cut, n, n_right, round(n_right / n, 6) AS compliance FROM s WHERE least(un, n - un) >= 0.05 * n ORDER BY n_right DESC, cut LIMIT 1"""
+)
+def absence_by_threshold(spark, sf_dir):
+    """The cut of a number from which on another column is absent."""
+    df = _t(spark, sf_dir, "lineitem").selectExpr("l_quantity", "CASE WHEN NOT ((l_quantity >= 31) <> (l_orderkey % 1000 = 0)) THEN 1 END AS v")
+    r = evidence.absence_threshold(df, "v", "l_quantity")
+    return _rows(spark, [(r["sense"], r["cut"], r["n"], r["n_right"], r["compliance"])], "sense string, cut double, n long, n_right long, compliance double").withColumn("compliance", _r(F.col("compliance")))
+
+
+@_query("SELECT o_orderkey, CAST(running AS BIGINT) AS running FROM (SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey) AS running FROM orders) WHERE running <= 500000")
+def work_within_budget(spark, sf_dir):
+    """Rows whose running cost stays within a budget."""
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return evidence.within_budget(df, "o_orderkey", "o_custkey", 500_000).select("o_orderkey", F.col("running").cast("long").alias("running"))
+
+
+@_query(
+    """WITH v AS (SELECT c_custkey % 2 AS h, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 3 = 0 THEN 'a+-9+' WHEN c_custkey % 10 = 0 THEN '9+' ELSE 'a+' END AS pattern FROM customer), c AS (SELECT h, pattern, count(*) AS n FROM v GROUP BY ALL),
+s AS (SELECT h, pattern, n / sum(n) OVER (PARTITION BY h) AS share FROM c), j AS (SELECT coalesce(a.pattern, b.pattern) AS pattern, a.share AS before, b.share AS after FROM (SELECT * FROM s WHERE h = 0) a FULL JOIN (SELECT * FROM s WHERE h = 1) b ON a.pattern = b.pattern)
+SELECT pattern, round(before, 6) AS before, round(after, 6) AS after, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'gone' ELSE 'changed' END AS state, CASE WHEN abs(coalesce(after, 0) - coalesce(before, 0)) > 0.2 THEN 'error' ELSE 'suspicious' END AS severity
+FROM j WHERE before IS NULL OR after IS NULL OR abs(after - before) > 0.05"""
+)
+def pattern_drift(spark, sf_dir):
+    """Shapes of a column that are new, gone or of another share in a later table."""
+    c = F.col("c_custkey")
+    df = _t(spark, sf_dir, "customer").select("c_custkey", F.when((c % 2 == 1) & (c % 3 == 0), "x-7").when(c % 10 == 0, "5").otherwise("q").alias("v"))
+    out = evidence.compare_patterns(*[findings.discover_patterns(df.where(f"c_custkey % 2 = {h}"), "v") for h in (0, 1)])
+    return out.select("pattern", _r(F.col("before")).alias("before"), _r(F.col("after")).alias("after"), "state", "severity")
+
+
+@_query(
+    """WITH a AS (SELECT n_name AS "column", n_nationkey AS k FROM nation), x AS (SELECT "column", 'f' || k % 3 AS finding, k AS n_affected FROM a WHERE k % 4 <> 0), y AS (SELECT "column", 'f' || k % 3 AS finding, CASE WHEN k % 5 = 0 THEN k + 1 ELSE k END AS n_affected FROM a WHERE k % 6 <> 0)
+SELECT coalesce(x."column", y."column") AS "column", coalesce(x.finding, y.finding) AS finding, x.n_affected AS before, y.n_affected AS after, CASE WHEN x."column" IS NULL THEN 'new' WHEN y."column" IS NULL THEN 'gone' ELSE 'changed' END AS state
+FROM x FULL JOIN y ON x."column" = y."column" AND x.finding = y.finding WHERE x."column" IS NULL OR y."column" IS NULL OR x.n_affected <> y.n_affected"""
+)
+def finding_drift(spark, sf_dir):
+    """Findings that are new, gone or changed between two profiles."""
+    n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("column"), F.concat(F.lit("f"), (F.col("n_nationkey") % 3).cast("string")).alias("finding"), F.col("n_nationkey").alias("k"))
+    a = n.where("k % 4 <> 0").withColumn("n_affected", F.col("k"))
+    return evidence.compare_findings(a, n.where("k % 6 <> 0").withColumn("n_affected", F.expr("CASE WHEN k % 5 = 0 THEN k + 1 ELSE k END")))
