@@ -211,7 +211,13 @@ def date_formats(spark, sf_dir):
     return _rows(spark, [(got["yyyy-MM-dd"], got["dd/MM/yyyy"], got["MM/dd/yyyy"], got["yyyyMMdd"])], "iso long, day_first long, month_first_possible long, compact long")
 
 
-@_query()
+def _type_sql(name: str, expression: str) -> str:
+    share = lambda r: f"count(*) FILTER (regexp_matches(v, '{r}')) >= 0.8 * count(*)"
+    return f"""SELECT '{name}' AS "column", CASE WHEN count(*) FILTER (try_strptime(v, '%Y-%m-%d') IS NOT NULL) >= 0.8 * count(*) THEN 'date' WHEN {share("^[+-]?[0-9]+$")} THEN 'integer'
+ WHEN {share("^[+-]?([0-9]+[.,]?[0-9]*|[.,][0-9]+)([eE][+-]?[0-9]+)?$")} THEN 'double' ELSE 'text' END AS type, count(*) AS n FROM (SELECT {expression} AS v FROM orders) WHERE length(trim(v)) > 0"""
+
+
+@_query(" UNION ALL ".join(_type_sql(*x) for x in (("integer_text", "CAST(o_orderkey AS VARCHAR)"), ("double_text", "CAST(CAST(o_totalprice AS DOUBLE) AS VARCHAR)"), ("date_text", "strftime(o_orderdate, '%Y-%m-%d')"), ("o_orderpriority", "o_orderpriority"))))
 def implicit_types(spark, sf_dir):
     """The implicit type of text columns."""
     df = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("integer_text"), F.col("o_totalprice").cast("string").alias("double_text"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_text"), "o_orderpriority")
@@ -325,11 +331,15 @@ def benford_digits(spark, sf_dir):
     return _t(spark, sf_dir, "orders").where("o_totalprice >= 1").groupBy(digit.alias("digit")).agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query(
+    """WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) * pow(10, o_orderkey % 4) AS x FROM orders), d AS (SELECT CAST(left(format('{:.15e}', x), 1) AS INTEGER) AS d FROM x WHERE x > 0), n AS (SELECT count(*) AS n FROM d), k AS (SELECT unnest(range(1, 10)) AS k),
+c AS (SELECT k, n, n * log10(1 + 1.0 / k) AS e, (SELECT count(*) FROM d WHERE d.d = k.k) AS o FROM k, n), chi AS (SELECT sum((o - e) * (o - e) / e) AS chi2, any_value(n) AS n FROM c)
+SELECT 'x' AS "column", n, round(chi2, 4) AS chi2, round(CASE WHEN chi2 < 1400 THEN exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6) ELSE 0 END, 6) AS p, CAST(NULL AS VARCHAR) AS reason FROM chi"""
+)
 def benford_test(spark, sf_dir):
     """Benford's law with its preconditions."""
     r = structure.benford(_t(spark, sf_dir, "orders").selectExpr("o_totalprice * pow(10, o_orderkey % 4) AS x"), "x")
-    return _rows(spark, [(r["column"], r["n"], r["chi2"], r["p"], r["reason"])], "column string, n long, chi2 double, p double, reason string")
+    return _rows(spark, [(r["column"], r["n"], r["chi2"], r["p"], r["reason"])], "column string, n long, chi2 double, p double, reason string").withColumns({"chi2": _r(F.col("chi2"), 4), "p": _r(F.col("p"))})
 
 
 @_query("SELECT 'v' AS \"column\", 'event_type' AS determinant, count(*) AS n_evaluated, count(*) FILTER (event_type <> 'click') AS n_affected FROM events WHERE event_type IS NOT NULL")
@@ -417,7 +427,19 @@ def time_gaps(spark, sf_dir):
     return stats.time_gaps(_t(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"), "o_orderdate")
 
 
-@_query()
+def _drift_sql(c: str) -> str:
+    half = lambda where: f"SELECT count({c}) AS n, count(*) AS all_n, count(DISTINCT {c}) AS d, min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM lineitem WHERE {where}"
+    level = lambda d: f"CASE WHEN abs({d}) > 0.2 THEN 'error' WHEN abs({d}) > 0.05 THEN 'suspicious' END"
+    width = "greatest(a.hi - a.lo, 1e-12)"
+    rows = (
+        ("missing_rate", "round(1 - a.n / a.all_n, 6)", "round(1 - b.n / b.all_n, 6)", "(1 - b.n / b.all_n) - (1 - a.n / a.all_n)"), ("distinct_rate", "round(a.d / a.n, 6)", "round(b.d / b.n, 6)", "b.d / b.n - a.d / a.n"),
+        ("min", "a.lo", "b.lo", f"(a.lo - b.lo) / {width}"), ("max", "a.hi", "b.hi", f"(b.hi - a.hi) / {width}"),
+    )
+    both = f"FROM ({half('l_orderkey % 2 = 0')}) a, ({half('l_orderkey % 2 = 1 AND l_quantity < 25')}) b"
+    return " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", '{n}' AS aspect, CAST({x} AS VARCHAR) AS before, CAST({y} AS VARCHAR) AS after, {level(d)} AS severity {both}) WHERE severity IS NOT NULL" for n, x, y, d in rows)
+
+
+@_query(" UNION ALL ".join(_drift_sql(c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def compare_profiles(spark, sf_dir):
     """Drift between the profiles of two slices."""
     df = _t(spark, sf_dir, "lineitem")
@@ -560,7 +582,7 @@ def metric_coverage_ratio(spark, sf_dir):
     return _summary(_measure(spark, sf_dir, "coverage_ratio", "orders", ["o_custkey"], (), ref))
 
 
-@_query()
+@_query("SELECT 'contradictory_entity' AS metric, 'n_name' AS attribute, count(*) AS n, CAST(count(*) FILTER (EXISTS (SELECT 1 FROM nation b WHERE b.n_name <> a.n_name AND jaro_winkler_similarity(a.n_name, b.n_name) >= 0.9)) AS DOUBLE) AS total FROM nation a WHERE n_name IS NOT NULL")
 def metric_contradictory_entity(spark, sf_dir):
     return _summary(_measure(spark, sf_dir, "contradictory_entity", "nation", ["n_name"], ["n_nationkey"]))
 
@@ -661,11 +683,15 @@ def near_duplicates_lsh(spark, sf_dir):
     return fuzzy.detect_near_duplicates(_t(spark, sf_dir, "part"), ["p_name"], strategy="lsh")
 
 
-@_query()
+@_query(
+    """WITH f AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN upper(o_orderpriority) WHEN o_orderkey % 89 = 0 THEN o_orderpriority || 'X' ELSE o_orderpriority END AS v FROM orders), c AS (SELECT v, lower(v) AS l, count(*) AS n FROM f GROUP BY v),
+m AS (SELECT a.v AS value, a.n, b.v AS hub, b.n AS hub_n, round(1 - jaro_winkler_similarity(a.l, b.l), 6) AS distance FROM c a JOIN c b ON a.v <> b.v AND b.n > a.n AND jaro_winkler_similarity(a.l, b.l) >= 0.9 AND regexp_extract_all(a.v, '[0-9]+') = regexp_extract_all(b.v, '[0-9]+'))
+SELECT value, n, hub, hub_n, distance FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY hub_n DESC, distance, hub DESC) AS r FROM m) WHERE r = 1"""
+)
 def vocabulary_variants(spark, sf_dir):
     """Variants of more frequent values in a vocabulary."""
     df = _t(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 97 = 0 THEN upper(o_orderpriority) WHEN o_orderkey % 89 = 0 THEN concat(o_orderpriority, 'X') ELSE o_orderpriority END AS v")
-    return fuzzy.vocabulary_variants(df, "v")
+    return fuzzy.vocabulary_variants(df, "v").withColumn("distance", _r(F.col("distance")))
 
 
 @_query("SELECT l_orderkey, l_linenumber, round(greatest(a - 1.5 * (b - a), least(b + 1.5 * (b - a), l_extendedprice)), 4) AS price FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)")
@@ -851,3 +877,24 @@ def finding_drift(spark, sf_dir):
     n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("column"), F.concat(F.lit("f"), (F.col("n_nationkey") % 3).cast("string")).alias("finding"), F.col("n_nationkey").alias("k"))
     a = n.where("k % 4 <> 0").withColumn("n_affected", F.col("k"))
     return evidence.compare_findings(a, n.where("k % 6 <> 0").withColumn("n_affected", F.expr("CASE WHEN k % 5 = 0 THEN k + 1 ELSE k END")))
+
+
+# wide tables: 40 columns derived from lineitem's
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(*[(F.col(c) + i).alias(f"{c}_{i}") for i in range(5) for c in _NUMBERS])
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}_{i}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_missing FROM lineitem" for i in range(5) for c in _NUMBERS))
+def profile_wide_counts(spark, sf_dir):
+    """The counts-only mode on 40 columns."""
+    return _rows(spark, [(r["column"], r["n"], r["n_missing"]) for r in profile_columns(_wide(spark, sf_dir), mode="counts")], "column string, n long, n_missing long")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}_{i}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_missing, CAST(min({c} + {i}) AS DOUBLE) AS min, CAST(max({c} + {i}) AS DOUBLE) AS max, round(avg(CAST({c} + {i} AS DOUBLE)), 3) AS mean, round(stddev_samp(CAST({c} + {i} AS DOUBLE)), 3) AS stddev, count(*) FILTER ({c} + {i} = 0) AS n_zeros FROM lineitem" for i in range(5) for c in _NUMBERS))
+def profile_wide_safe(spark, sf_dir):
+    """The mode that neither sorts nor groups, on 40 columns."""
+    rows = profile_columns(_wide(spark, sf_dir), mode="safe")
+    out = _rows(spark, [tuple(r[k] for k in ("column", "n", "n_missing", "min", "max", "mean", "stddev", "n_zeros")) for r in rows], "column string, n long, n_missing long, min double, max double, mean double, stddev double, n_zeros long")
+    return out.withColumns({c: _r(F.col(c), 3) for c in ("mean", "stddev")})

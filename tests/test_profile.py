@@ -153,3 +153,53 @@ def test_time_zone_shift(spark):
         assert [(f["n_evaluated"], f["n_affected"]) for f in found] == [(2, 1)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def jobs(spark, run):
+    """The Spark jobs that a call starts."""
+    spark.sparkContext.setJobGroup(group := f"count-{id(run)}", "")
+    run()
+    spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_text_figures_take_as_many_jobs_for_any_width(spark):
+    from plumbline.operators import findings
+
+    df = spark.createDataFrame([(f"v{i % 5}", f"{i}.5", "2024-01-0" + str(i % 9 + 1)) for i in range(40)], "a string, b string, c string")
+    wide = df.select(*[F.col(c).alias(f"{c}{i}") for i in range(6) for c in df.columns])
+    assert jobs(spark, lambda: findings.deep_text_figures(df, df.columns)) == jobs(spark, lambda: findings.deep_text_figures(wide, wide.columns))
+
+
+def test_limits_have_coverage_rows_and_rules_reach_the_findings(spark):
+    from plumbline.operators import findings
+
+    df = spark.range(50).selectExpr("id % 7 - 3 AS z", *[f"id * {k} AS n{k}" for k in range(2, 12)])
+    p = findings.profile(df, forbid_zeros=("z",), forbid_negatives=("z",))
+    assert {r["column"] for r in p.coverage if r["diagnostic"] == "arithmetic_relation"} == {"n9", "n10", "n11"}
+    assert {"zeros_not_allowed", "negatives_not_allowed"} <= {f["finding"] for f in p.findings if f["column"] == "z"}
+
+
+def test_patterns_show_three_examples_and_what_is_left_out(spark):
+    from plumbline.operators import findings
+
+    df = spark.createDataFrame([(v,) for v in ["aa1", "ab2", "ac3", "ad4", "X", "9", "9"]], "v string")
+    rows = findings.discover_patterns(df, "v", max_patterns=2).collect()
+    assert rows[0]["examples"] == ["aa1", "ab2", "ac3"] and rows[0]["example"] == "aa1" and {r["excluded"] for r in rows} == {1}
+
+
+def test_figures_that_can_not_be(spark):
+    from plumbline.operators.evidence import guard_impossible
+
+    row = {"column": "x", "declared_type": "integer", "n_applicable": 5, "n_missing": 1, "n_distinct": 6, "distinct_rate": 1.5, "mode": "1", "mode_n": 9, "min": 3.0, "max": 1.0, "min_exact": "3", "max_exact": "1"}
+    out, why = guard_impossible(row)
+    assert all(out[k] is None for k in ("n_distinct", "mode_n", "min", "max")) and {w["reason"] for w in why} == {"more_distinct_than_valid", "mode_more_frequent_than_valid", "greatest_under_least"}
+
+
+def test_ranges_of_any_size_give_the_same_ranks_and_quantiles(spark):
+    from plumbline.plans.aggplan import ranks_of_counts
+
+    df = spark.range(400).selectExpr("(id * 7919) % 100 AS x", "id % 3 AS y")
+    counts = value_counts(df, ["x", "y"])
+    for fn in (lambda k: ranks_of_counts(counts, k), lambda k: quantiles_of_counts(counts, [0.0, 0.1, 0.5, 1.0], k)):
+        assert sorted(map(tuple, fn(10**6).collect())) == sorted(map(tuple, fn(7).collect())) == sorted(map(tuple, fn(1).collect()))
