@@ -217,8 +217,12 @@ def impute_dependency(df: DataFrame, determinant: str, dependent: str, min_suppo
     return filled.select(*[F.coalesce(y, F.col("_y")).alias(c) if c == dependent else F.col(f"`{c}`") for c in df.columns])
 
 
-def apply_cleaning(plan: CleaningPlan, df: DataFrame, allow_removal: bool = False, key: list[str] | None = None) -> CleaningResult:
-    """Runs the chosen actions in order. A failed action is logged and leaves the table as it was; the rest go on."""
+def apply_cleaning(plan: CleaningPlan, df: DataFrame, allow_removal: bool = False, key: list[str] | None = None, check: bool = False) -> CleaningResult:
+    """Plans the chosen actions in order. An action that fails is logged and leaves the table as it was; the rest go on.
+
+    Actions are lazy: what only fails on rows shows when the result is read. With ``check`` each action is run over all
+    rows as soon as it is planned (a pass each), so that such failures are logged too.
+    """
     log, removed = [], None
     for a in (a for a in plan.actions if a.chosen):
         entry = {"strategy": a.strategy, "column": a.column, "state": "done", "reason": None}
@@ -228,7 +232,10 @@ def apply_cleaning(plan: CleaningPlan, df: DataFrame, allow_removal: bool = Fals
             entry |= {"state": "refused", "reason": "removal needs a second consent"}
         else:
             try:
-                df, gone = _run(df, a, key)
+                made, gone = _run(df, a, key)
+                if check:
+                    made.write.format("noop").mode("overwrite").save()
+                df = made
                 if gone is not None:
                     removed = gone if removed is None else removed.unionByName(gone, allowMissingColumns=True)
             except Exception as e:  # noqa: BLE001 - each action stands alone, by contract

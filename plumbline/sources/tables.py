@@ -119,3 +119,31 @@ def load_analysis(spark: SparkSession, path: str) -> Profile:
     if r["version"] != 1:
         raise ValueError(f"unknown version {r['version']}")
     return Profile(**json.loads(r["profile"]))
+
+
+class TableReader:
+    """Reads tables by name and keeps those that fit a budget of bytes (by the plan's estimate), so that a collection's tables are read once; the log tells what each read did."""
+
+    def __init__(self, spark: SparkSession, sources: dict[str, str | DataFrame], budget_bytes: int = 1 << 30) -> None:
+        self.spark, self.sources, self.left = spark, sources, budget_bytes
+        self.kept: dict[str, DataFrame] = {}
+        self.log: list[dict] = []
+
+    def read(self, name: str) -> DataFrame:
+        """A table; an unknown name is an error."""
+        if name in self.kept:
+            self.log.append({"table": name, "read": "kept", "bytes": 0})
+            return self.kept[name]
+        df = read_source(self.spark, self.sources[name])
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size <= self.left:
+            self.left -= size
+            df = self.kept[name] = df.persist()
+        self.log.append({"table": name, "read": "source" if name not in self.kept else "source, kept", "bytes": size})
+        return df
+
+    def close(self) -> None:
+        """Gives up what is kept."""
+        for df in self.kept.values():
+            df.unpersist()
+        self.kept.clear()

@@ -108,3 +108,41 @@ def test_history_is_idempotent(spark):
     e = A.evaluate(M.measure(M.bind(M.CORE_METRICS["not_null"], "t", ["v"]), {"t": df}, "m"), A.evaluation_profile("p", A.evaluation_rule("r", "result = 1")))
     h = A.quality_history(("m", "2024-01-01", e))
     assert A.append_history(h, h).count() == h.count() == 2
+
+
+def test_pushed_down_profiles_equal_those_of_the_engine(spark, sf):
+    import duckdb
+
+    from plumbline.operators.profile import profile_columns
+    from plumbline.sources import pushdown
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW t AS SELECT o_orderkey, o_totalprice, o_orderpriority FROM '{sf}/orders.parquet'")
+
+    def run(sql):
+        cursor = con.execute(sql)
+        return [dict(zip([d[0] for d in cursor.description], r)) for r in cursor.fetchall()]
+
+    columns = {"o_orderkey": "number", "o_totalprice": "number", "o_orderpriority": "text"}
+    got = pushdown.pushdown_profile(run, "t", columns, "exact")
+    want = {r["column"]: r for r in profile_columns(spark.read.parquet(f"{sf}/orders.parquet").select(*columns))}
+    for r in got.columns:
+        w = want[r["column"]]
+        for f in ("n", "n_missing", "n_distinct", "mode_n", "min", "max", "mean", "stddev", "n_zeros", "length_min", "length_max", "length_mean", "n_blanks"):
+            assert r.get(f) == w.get(f) or abs(float(r[f]) - float(w[f])) < 1e-6 * abs(float(w[f])), (r["column"], f)
+    assert len(got.log) == 4 == pushdown.cost("t", columns, "exact")["queries"] and not got.coverage
+    # the number of queries follows from the width only
+    wide = {f"c{i}": "number" for i in range(40)}
+    assert pushdown.cost("t", wide, "counts")["queries"] == 1 and pushdown.cost("t", wide, "safe")["queries"] <= 14
+    # a refused query is told, and the rest go on
+    bad = pushdown.pushdown_profile(run, "t", columns | {"nowhere": "number"}, "safe", max_expressions=7)
+    assert {r["column"] for r in bad.coverage} >= {"nowhere"} and bad.columns[0]["n_present"] == want["o_orderkey"]["n"]
+
+
+def test_table_reader_reads_once_within_its_budget(spark, sf):
+    reader = tables.TableReader(spark, {"nation": f"{sf}/nation.parquet", "orders": f"{sf}/orders.parquet"}, budget_bytes=20_000)
+    assert reader.read("nation").count() == reader.read("nation").count() == 25 and reader.read("orders").count()
+    assert [(r["table"], r["read"]) for r in reader.log] == [("nation", "source, kept"), ("nation", "kept"), ("orders", "source")]
+    reader.close()
+    with pytest.raises(KeyError):
+        reader.read("none")
