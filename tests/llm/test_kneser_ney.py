@@ -1,5 +1,6 @@
 """The language model against a direct implementation of the formulas."""
 
+import functools
 import math
 from collections import Counter, defaultdict
 
@@ -23,6 +24,7 @@ def brute(trusted, texts, order):
             total[n][g[:-1]] += c
             back[n][g[:-1]] += d[n][min(c, 3) - 1]
 
+    @functools.cache
     def p(g):
         n = len(g)
         if n == 0:
