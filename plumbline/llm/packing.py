@@ -172,5 +172,7 @@ def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, stre
     """
     if streams is None:
         streams = max(1, -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // STREAM_BYTES))
-    ordered = encoded(docs, streams, vocabulary).repartition("stream").sortWithinPartitions("stream", "key", "doc_id")
+    # streams are dealt out evenly: one a partition, or several where there are more streams than the session has partitions
+    parts = min(streams, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = encoded(docs, streams, vocabulary).repartitionById(parts, F.pmod("stream", F.lit(parts)).cast("int")).sortWithinPartitions("stream", "key", "doc_id")
     return map_text(ordered, _pack_batches(length, open_bins, vocabulary), PACKED)
