@@ -114,9 +114,12 @@ def column_expressions(df: DataFrame, name: str, groups: tuple[str, ...], applic
     if "basics" in groups:
         if declared in NUMERIC:
             d = _finite(c, kind)
-            out |= {"min": F.min(d), "max": F.max(d), "mean": F.avg(d), "n_zeros": _count(d == 0), "n_negatives": _count(d < 0)}
+            out |= {"mean": F.avg(d), "n_zeros": _count(d == 0), "n_negatives": _count(d < 0)}
             if declared == "integer" or isinstance(kind, T.DecimalType):
+                # their doubles follow from these
                 out |= {"min_exact": F.min(c).cast("string"), "max_exact": F.max(c).cast("string")}
+            else:
+                out |= {"min": F.min(d), "max": F.max(d)}
             if isinstance(kind, (T.FloatType, T.DoubleType)):
                 out |= {"n_nan": _count(F.isnan(c)), "n_pos_inf": _count(c == float("inf")), "n_neg_inf": _count(c == float("-inf"))}
         elif declared in TEMPORAL:
@@ -195,6 +198,8 @@ def profile_columns(
     for key, v in values.items():
         n, k = key.split("\0")
         rows[n][k] = v
+        if k in ("min_exact", "max_exact"):
+            rows[n][k[:3]] = None if v is None else float(v)
     if "distinct" in groups and mode != "approximate" and analysed:
         counts = value_counts(masked, analysed).persist()
         try:

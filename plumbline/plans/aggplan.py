@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Above this many expressions generated code outgrows what the JIT compiles well.
-MAX_EXPRESSIONS = 120
+#: Above this many expressions generated code outgrows what the JIT compiles well, and its fields the limit of whole-stage code. Passes
+#: take the expressions in order, so each reads only the columns that its own are about.
+MAX_EXPRESSIONS = 40
 
 
 def aggregate(df: DataFrame, expressions: dict[str, Column]) -> dict:
-    """All expressions' values, in as many passes as ``MAX_EXPRESSIONS`` asks for (one for most tables)."""
+    """All expressions' values, in as many passes as ``MAX_EXPRESSIONS`` asks for."""
     out: dict = {}
     names = list(expressions)
     for k in range(0, len(names), MAX_EXPRESSIONS):
