@@ -162,9 +162,13 @@ def evaluate(expression: str) -> str:
         return "invalid"
 
 
+#: Words of phrases that any text may have.
+_PLAIN = frozenset("only later version or the public general free source with under this that any work share alike by to and is of into new use".split())
+
+
 def anchor(phrase: str) -> str:
-    """The longest word of a phrase: a text without it doesn't hold the phrase."""
-    return max(re.findall(r"[a-z0-9.+]+", phrase), key=lambda w: (len(w), w))
+    """The longest word of a phrase that isn't plain: a text without it doesn't hold the phrase."""
+    return max(re.findall(r"[a-z0-9.+]+", phrase), key=lambda w: (w not in _PLAIN, len(w), w))
 
 
 def automaton():
