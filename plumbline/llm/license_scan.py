@@ -177,9 +177,9 @@ def automaton():
 
     first, second = ahocorasick.Automaton(), ahocorasick.Automaton()
     for word in {anchor(p) for p in PHRASES}:
-        first.add_word(word, False)
+        first.add_word(word, len(word))
     for tag in TAGS:
-        first.add_word(tag, True)
+        first.add_word(tag, 0)
     for phrase, license_id in PHRASES.items():
         second.add_word(phrase, (len(phrase), license_id))
     first.make_automaton()
@@ -207,11 +207,11 @@ def scan(text: str, machine) -> tuple[list[str], list[str], str] | None:
     """Notices' licenses and tags' expressions of a lower-case text, and its category; None if it has neither."""
     first, second = machine
     tags, anchored = [], False
-    for end, is_tag in first.iter(text):
-        if is_tag:
+    for end, n in first.iter(text):
+        if not n:
             tags.append(end)
-        else:
-            anchored = True
+        elif not anchored:
+            anchored = not (end >= n and text[end - n].isalnum()) and not text[end + 1 : end + 2].isalnum()
     expressions = set()
     # of two tags that end at one place the longer one stands for both
     for end in sorted(set(tags)):
