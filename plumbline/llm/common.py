@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,15 +89,36 @@ def fresh(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system, which allocators else keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, and at its end ``give_back``: workers outlive their tasks, and what one keeps comes on top of the next task's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_text(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow``, in batches of at most ``TEXT_BATCH_ROWS`` rows, as texts are wide and a worker's memory is small.
 
-    The limit is a session setting; it is only ever lowered.
+    The limit is a session setting; it is only ever lowered. Workers give a task's memory back when it ends.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= TEXT_BATCH_ROWS:
         conf.set(name, str(TEXT_BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(released(function), schema)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

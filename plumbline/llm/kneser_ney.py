@@ -68,7 +68,11 @@ def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, offsets
 
 
-def _chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+#: Texts are cut into n-grams in groups of about this many bytes; each byte takes some 60 while it is.
+GROUP_BYTES = 1 << 18
+
+
+def _chunks(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """Ranges of whole texts of about ``limit`` bytes, a null as an empty text."""
     if column.null_count:
         column = column.fill_null("")
@@ -81,7 +85,9 @@ def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Keys and counts of several parts, each key once."""
     keys = np.concatenate([p[0] for p in parts])
     if len(parts[0]) == 1:
-        return (np.unique(keys),)
+        # parts are sorted, and a stable sort merges such runs
+        keys.sort(kind="stable")
+        return (keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys,)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -99,6 +105,8 @@ def _flush(parts: dict[str, list], names: list[str]) -> Iterator[pa.RecordBatch]
 
 #: Distinct n-grams that a worker gathers before it passes them on.
 HELD = 700_000
+#: N-grams of single groups that are merged at least at once; else as many as have been merged.
+MERGED = HELD // 4
 
 
 def _distinct_batches(order: int):
@@ -106,6 +114,7 @@ def _distinct_batches(order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
+        merged = new = 0
         for batch in batches:
             blocks = batch.column(1).to_numpy()
             for i, j, texts in _chunks(batch.column(0)):
@@ -113,11 +122,14 @@ def _distinct_batches(order: int):
                 for block in np.unique(blocks[i:j]).tolist():
                     own = code if (blocks[i:j] == block).all() else code[np.repeat(blocks[i:j] == block, np.diff(offsets))]
                     parts.setdefault(block, []).append((np.unique(own),))
-            if sum(len(p[0]) for own in parts.values() for p in own) > 2 * HELD:
-                for block, own in parts.items():
-                    parts[block] = [_merge(own)]
-                if sum(len(own[0][0]) for own in parts.values()) > HELD:
-                    yield from _flush(parts, ["block", "g"])
+                    new += len(parts[block][-1][0])
+                if new > max(merged, MERGED):
+                    for block, own in parts.items():
+                        parts[block] = [_merge(own)]
+                    merged, new = sum(len(own[0][0]) for own in parts.values()), 0
+                    if merged > HELD:
+                        yield from _flush(parts, ["block", "g"])
+                        merged = 0
         yield from _flush(parts, ["block", "g"])
 
     return run
@@ -127,20 +139,34 @@ def _count_batches(order: int):
     """Per task the n-grams of trusted texts with their counts in either half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # n-grams with the half as their last bit, and counts
         parts: list[tuple[np.ndarray, ...]] = []
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(parts)], names=["g", "c0", "c1"])
+        merged = new = 0
+
+        def made() -> pa.RecordBatch:
+            marked, n = _merge(parts)
+            parts.clear()
+            g, first = np.unique(marked >> 1, return_index=True)
+            out = [np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)]
+            place = np.repeat(np.arange(len(g)), np.diff(np.append(first, len(marked))))
+            for half in (0, 1):
+                own = marked & 1 == half
+                out[half][place[own]] = n[own]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (g, *out)], names=["g", "c0", "c1"])
+
         for batch in batches:
             halves = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, texts in _chunks(batch.column(0)):
                 code, offsets = ngrams(texts, order)
                 marked = code << 1 | np.repeat(halves[i:j], np.diff(offsets))
-                distinct, n = np.unique(marked, return_counts=True)
-                parts.append((distinct >> 1, np.where(distinct & 1, 0, n), np.where(distinct & 1, n, 0)))
-            if sum(len(p[0]) for p in parts) > 2 * HELD:
-                parts = [_merge(parts)]
-                if len(parts[0][0]) > HELD:
-                    yield made()
-                    parts = []
+                parts.append(np.unique(marked, return_counts=True))
+                new += len(parts[-1][0])
+                if new > max(merged, MERGED):
+                    parts[:] = [_merge(parts)]
+                    merged, new = len(parts[0][0]), 0
+                    if merged > HELD:
+                        yield made()
+                        merged = 0
         if parts:
             yield made()
 
@@ -202,12 +228,14 @@ def _score_batches(order: int, folder: str):
                 cost = np.zeros(len(code), dtype=np.float64)
                 for block in np.unique(of).tolist():
                     if block != loaded:
-                        own = ds.dataset(f"{path}/block={block}", format="parquet", filesystem=system).to_table(columns=["g", "cost0", "cost1"])
+                        table = costs = None  # before the next ones are read
+                        own = ds.dataset(f"{path}/block={block}", format="parquet", filesystem=system).to_table(columns=["g", "cost0", "cost1"], use_threads=False)
                         # several tasks may have met an n-gram of one file
                         keys, first = np.unique(own["g"].to_numpy(), return_index=True)
                         table = tokens.HashTable()
                         table.add(keys.view(np.uint64), np.arange(len(keys)))
                         costs, loaded = np.stack([own[c].to_numpy()[first] for c in ("cost0", "cost1")], axis=1).ravel(), block
+                        del own, keys, first
                     at = of == block
                     cost[at] = costs[table.get(code[at].view(np.uint64)) * 2 + half[at]]
                 sums = np.concatenate(([0.0], np.cumsum(cost)))

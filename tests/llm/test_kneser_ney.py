@@ -2,9 +2,11 @@
 
 import functools
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import kneser_ney as K
@@ -113,3 +115,30 @@ def test_toxic_text_is_never_trusted(spark):
     assert {r.doc_id for r in K.score(docs, labels).where("trusted").collect()} == {0}
     want = brute(GOOD[:1], GOOD, K.ORDER)
     assert all(abs(r.perplexity - want[r.doc_id]) < 1e-3 * want[r.doc_id] for r in K.score(docs, labels).collect())
+
+
+@pytest.mark.parametrize("made", [K._distinct_batches, K._count_batches])
+def test_memory_of_a_batch(made):
+    """Wide batches are cut into n-grams by small groups: a worker's memory doesn't follow the batch."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh "), 40_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.arange(100, dtype=np.int64) % 2)], names=["text", "of"])
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in made(5)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 50_000
+    assert peak < 50 << 20, peak
+
+
+def test_counts_of_both_halves():
+    texts, halves = ["abab", "ba", "", "abab"], [0, 1, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(halves, pa.int32())], names=["text", "half"])
+    wanted: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for text, half in zip(texts, halves):
+        for g in K.ngrams([text], 3)[0].tolist():
+            wanted[g][half] += 1
+    got = pa.Table.from_batches(list(K._count_batches(3)(iter([batch])))).to_pylist()
+    assert {r["g"]: [r["c0"], r["c1"]] for r in got} == wanted and len(got) == len(wanted)

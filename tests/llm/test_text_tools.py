@@ -1,6 +1,9 @@
 """Tokens, hash tables and BPE against plain Python."""
 
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +90,31 @@ def test_equal_hashes_do_not_share_ids(monkeypatch):
         data, offsets = tokens.texts_of(pa.array(texts))
         ids, before = own.encode(data, offsets)
         assert [own.encoding.decode(ids[a:b].tolist()) for a, b in zip(before, before[1:])] == texts
+
+
+def test_workers_give_memory_back():
+    """What a task freed goes back to the system at its end, though a small object above it lives on."""
+    code = """
+import re, types
+import numpy as np
+from plumbline.llm.common import map_text
+
+def own():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+kept = []
+def task(batches):
+    held = [np.ones(1 << 11) for _ in range(8000)]
+    kept.append(np.ones(1 << 11))
+    del held
+    yield from batches
+
+conf = types.SimpleNamespace(get=lambda name: "1024")
+df = types.SimpleNamespace(sparkSession=types.SimpleNamespace(conf=conf), mapInArrow=lambda f, schema: f)
+before = own()
+list(map_text(df, task, "")(iter([])))
+print(own() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 40, out.stdout
