@@ -92,14 +92,34 @@ def as_number(column: Column, kind: T.DataType) -> Column | None:
 RANGE_VALUES = 50_000
 
 
+#: Cuts are searched by digits of this base: each step compares with 15 of them at most, by four comparisons in compiled code.
+SEARCH_BASE = 16
+
+
 def in_ranges(numbers: DataFrame, sizes: dict[str, tuple[int, int]], range_values: int = RANGE_VALUES) -> DataFrame:
-    """``column``, ``number``, ``n`` with the ``range`` of its column that a number is in: cuts come from a sketch, so that ranges have about ``range_values`` distinct values and grow in number with the data."""
+    """``numbers`` (``column``, ``number``, ``n``) with the ``range`` of its column that a number is in: cuts come from a sketch, so that ranges have about ``range_values`` distinct values and grow in number with the data.
+
+    The cuts are fetched once: a sketch depends on the order in which rows meet it, so each job that made it anew could place numbers otherwise.
+    """
     ranges = max(1, -(-max(d for _, d in sizes.values()) // range_values))
     if ranges == 1:
         return numbers.withColumn("range", F.lit(0))
-    cuts = numbers.groupBy("column").agg(F.percentile_approx("number", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("cuts"))
-    at = _search(F.col("cuts"), F.col("number"), 0, ranges - 1) if ranges <= 64 else F.size(F.filter("cuts", lambda c: c < F.col("number")))
-    return numbers.join(F.broadcast(cuts), "column").select("column", "number", "n", at.alias("range"))
+    sketch = F.percentile_approx("number", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges))
+    cuts = {r["column"]: r["cuts"] for r in numbers.groupBy("column").agg(sketch.alias("cuts")).collect()}
+    return place(numbers, cuts)
+
+
+def place(numbers: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """``numbers`` with ``range``: how many of its column's cuts, in order, are below a number, in a number of steps that is the logarithm of the cuts'."""
+    steps = 1
+    while SEARCH_BASE**steps <= max(map(len, cuts.values())):
+        steps += 1
+    padded = [(c, own + [float("inf")] * (SEARCH_BASE**steps - 1 - len(own))) for c, own in cuts.items()]
+    known = numbers.sparkSession.createDataFrame(padded, "column string, _cuts array<double>")
+    out = numbers.join(F.broadcast(known), "column").withColumn("range", F.lit(0))
+    for stride in (SEARCH_BASE**k for k in reversed(range(steps))):
+        out = out.withColumn("range", F.col("range") + stride * _search(F.col("_cuts"), F.col("number"), 0, SEARCH_BASE - 1, F.col("range"), stride))
+    return out.select(*numbers.columns, "range")
 
 
 def column_sizes(numbers: DataFrame) -> dict[str, tuple[int, int]]:
@@ -161,12 +181,12 @@ def quantiles_of_counts(counts: DataFrame, probabilities: list[float], range_val
     return out.select("column", "probability", (F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))).alias("value"))
 
 
-def _search(cuts: Column, value: Column, low: int, high: int) -> Column:
-    """How many of cuts[low:high], in order, are below a value: a binary search as one compiled expression."""
+def _search(cuts: Column, value: Column, low: int, high: int, start: Column, stride: int) -> Column:
+    """How many of the cuts at the ends of strides ``low`` to ``high`` from ``start``, in order, are below a value: a binary search as one compiled expression."""
     if low == high:
         return F.lit(low)
     mid = (low + high) // 2
-    return F.when(cuts[mid] < value, _search(cuts, value, mid + 1, high)).otherwise(_search(cuts, value, low, mid))
+    return F.when(cuts[start + ((mid + 1) * stride - 1)] < value, _search(cuts, value, mid + 1, high, start, stride)).otherwise(_search(cuts, value, low, mid, start, stride))
 
 
 def modes_of_counts(counts: DataFrame) -> DataFrame:

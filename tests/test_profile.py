@@ -203,3 +203,29 @@ def test_ranges_of_any_size_give_the_same_ranks_and_quantiles(spark):
     counts = value_counts(df, ["x", "y"])
     for fn in (lambda k: ranks_of_counts(counts, k), lambda k: quantiles_of_counts(counts, [0.0, 0.1, 0.5, 1.0], k)):
         assert sorted(map(tuple, fn(10**6).collect())) == sorted(map(tuple, fn(7).collect())) == sorted(map(tuple, fn(1).collect()))
+
+
+def test_quantiles_when_rows_come_in_another_order_each_time(spark):
+    import numpy as np
+
+    def mixed(batches):
+        import pandas as pd
+
+        rows = pd.concat(list(batches))
+        yield rows.iloc[np.random.default_rng().permutation(len(rows))]
+
+    counts = spark.range(0, 150_000, 1, 1).selectExpr("'x' AS column", "cast(id AS double) AS number", "1L AS n")
+    counts = counts.mapInPandas(mixed, counts.schema)
+    p = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["probability"]: r["value"] for r in quantiles_of_counts(counts, p).collect()}
+    assert got == {q: pytest.approx(q * 149_999) for q in p}
+
+
+def test_numbers_find_their_range_among_any_number_of_cuts(spark):
+    from plumbline.plans.aggplan import place
+
+    numbers = spark.range(0, 700).selectExpr("explode(array('one', 'few', 'many', 'equal')) AS column", "id / 2.0D AS number", "1L AS n")
+    for size in (1, 15, 16, 255, 256, 300):
+        cuts = {"one": [7.0], "few": [float(k) for k in range(min(size, 9))], "many": [float(k) for k in range(size)], "equal": [7.0] * size}
+        got = {(r["column"], r["number"]): r["range"] for r in place(numbers, cuts).collect()}
+        assert len(got) == 2800 and all(k == sum(c < v for c in cuts[name]) for (name, v), k in got.items())
