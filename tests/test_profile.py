@@ -229,3 +229,14 @@ def test_numbers_find_their_range_among_any_number_of_cuts(spark):
         cuts = {"one": [7.0], "few": [float(k) for k in range(min(size, 9))], "many": [float(k) for k in range(size)], "equal": [7.0] * size}
         got = {(r["column"], r["number"]): r["range"] for r in place(numbers, cuts).collect()}
         assert len(got) == 2800 and all(k == sum(c < v for c in cuts[name]) for (name, v), k in got.items())
+
+
+def test_a_number_is_not_compared_with_every_cut(spark):
+    from plumbline.plans.aggplan import in_ranges
+
+    numbers = spark.range(0, 2000).selectExpr("'x' AS column", "cast(id AS double) AS number", "1L AS n")
+    placed = in_ranges(numbers, {"x": (2000, 2000)}, 10)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    # each of the steps reads the array of cuts as often as its base allows, whatever the cuts' number
+    assert "lambda" not in plan and plan.count("_cuts") < 100
+    assert placed.agg(F.countDistinct("range")).first()[0] == 200
