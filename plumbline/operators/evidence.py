@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.plans.aggplan import aggregate, column_sizes, in_ranges
+from plumbline.plans.aggplan import RANGE_VALUES, aggregate, in_ranges
 
 #: The code points that evidence shows as <U+XXXX>: controls, soft hyphen, joiners, direction marks, variation selectors, byte order mark.
 INVISIBLE = r"[\x00-\x08\x0E-\x1F\x7F-\x9F­؜​-‏ -‮⁠-⁤⁦-⁯︀-️﻿]"
@@ -104,21 +106,41 @@ def absence_threshold(df: DataFrame, column: str, by: str, least: float = 0.99,
     return best | {"compliance": best["n_right"] / n} if best and best["n_right"] >= least * n else None
 
 
-def within_budget(df: DataFrame, order: str, cost: str, budget: float) -> DataFrame:
+def _within_reach(sums: list[tuple], budget: float) -> list[tuple]:
+    """Of ranges in their order (``range``, sum ``m`` and sum of negative costs ``down``, null without any), those in which a running cost may be within the budget, each with the sum ``before`` it."""
+    out, before = [], None
+    with decimal.localcontext(prec=80):
+        for k, m, down in sums:
+            start, fall = float(before or 0), float(down or 0)
+            # doubles may differ in their last digits; what comes along too much is left out later
+            if start + fall <= float(budget) + 1e-9 * (abs(start) + abs(fall) + abs(float(budget))):
+                out.append((k, before))
+            if m is not None:
+                before = m if before is None else before + m
+    return out
+
+
+def within_budget(df: DataFrame, order: str, cost: str, budget: float, range_values: int = RANGE_VALUES) -> DataFrame:
     """The rows, in the order of a numeric column, whose running cost stays within a budget: ``df``'s columns and ``running``.
 
-    Equal places of the order share one running sum. Sums run within ranges of the order and over the ranges before, so that no task has all rows.
+    Equal places of the order share one running sum; null costs add nothing. One pass sums each range of the order, and its negative costs apart, which
+    bound from below what any running sum in it can be: only the rows of ranges that may come within the budget are summed one by one and
+    shuffled, by range, so that no task has all rows.
     """
-    steps = df.groupBy(F.lit("o").alias("column"), F.col(f"`{order}`").cast("double").alias("number")).agg(F.sum(F.col(f"`{cost}`")).alias("n"))
-    sizes = column_sizes(steps.where("number IS NOT NULL"))
-    if not sizes:
+    at, c = F.col(f"`{order}`"), F.col(f"`{cost}`")
+    rows = df.where(at.isNotNull()).select(F.lit("o").alias("column"), at.cast("double").alias("number"), at.alias("at"), c.alias("cost"), F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row"))
+    n_rows = rows.count()
+    if not n_rows:
         return df.limit(0).withColumn("running", F.lit(None).cast("double"))
-    placed = in_ranges(steps.where("number IS NOT NULL"), sizes)
-    sums = placed.groupBy("range").agg(F.sum("n").alias("m"))
-    before = sums.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"))
-    running = placed.withColumn("own", F.sum("n").over(Window.partitionBy("range").orderBy("number"))).join(F.broadcast(before), "range")
-    kept = running.select(F.col("number").alias("_at"), (F.col("before") + F.col("own")).alias("running")).where(F.col("running") <= budget)
-    return df.join(kept, F.col(f"`{order}`").cast("double") == F.col("_at")).drop("_at")
+    placed = in_ranges(rows, {"o": (n_rows, n_rows)}, range_values)
+    sums = placed.groupBy("range").agg(F.sum("cost").alias("m"), F.sum(F.when(F.col("cost") < 0, F.col("cost"))).alias("down"))
+    held = _within_reach(sorted(map(tuple, sums.collect())), budget)
+    schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("before", sums.schema["m"].dataType)])
+    near = placed.join(F.broadcast(df.sparkSession.createDataFrame(held, schema)), "range")
+    steps = near.groupBy("range", "before", "at").agg(F.sum("cost").alias("n"))
+    own = F.sum("n").over(Window.partitionBy("range").orderBy("at"))
+    running = steps.select("range", "at", F.coalesce(F.col("before") + own, "before", own).alias("running")).where(F.col("running") <= budget)
+    return near.select("range", "at", "row").join(running, ["range", "at"]).select("row.*", "running")
 
 
 def compare_patterns(before: DataFrame, after: DataFrame, change: float = 0.05, error: float = 0.20) -> DataFrame:

@@ -240,3 +240,47 @@ def test_a_number_is_not_compared_with_every_cut(spark):
     # each of the steps reads the array of cuts as often as its base allows, whatever the cuts' number
     assert "lambda" not in plan and plan.count("_cuts") < 100
     assert placed.agg(F.countDistinct("range")).first()[0] == 200
+
+
+def _running(rows, budget):
+    """Brute force: rows (order, cost) with their running cost, nulls adding nothing, where it is at most the budget."""
+    import decimal
+
+    rows, out = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]), []
+    with decimal.localcontext(prec=80):
+        for at, cost in rows:
+            upto = [c for a, c in rows if a <= at and c is not None]
+            if upto and sum(upto) <= budget:
+                out.append((at, cost, sum(upto)))
+    return sorted(out, key=str)
+
+
+def test_budget_of_odd_costs_and_orders(spark):
+    import random
+    from decimal import Decimal
+
+    from plumbline.operators.evidence import within_budget
+
+    rng = random.Random(5)
+    costs = [rng.choice([None, 0, 3, 8, 40, -35]) for _ in range(160)]
+    cases = [
+        ("long", "long", [(i % 90 if i % 11 else None, c) for i, c in enumerate(costs)]),
+        # neighbours that doubles don't tell apart
+        ("long", "long", [(2**53 + i, 1) for i in range(60)]),
+        # ranges without any cost
+        ("int", "long", [(i, None if 20 <= i < 60 else 1) for i in range(90)]),
+        ("double", "decimal(30,2)", [(i / 4 - 9, None if c is None else Decimal(c) + Decimal("12345678901234567890123456.25")) for i, c in enumerate(costs)]),
+    ]
+    for order, cost, rows in cases:
+        df = spark.createDataFrame(rows, f"at {order}, range {cost}")
+        for budget, size in ((25, 7), (1e30, 10**6)):
+            assert sorted(map(tuple, within_budget(df, "at", "range", budget, size).collect()), key=str) == _running(rows, budget), (order, cost, budget, size)
+
+
+def test_budget_sums_only_ranges_within_its_reach():
+    from plumbline.operators.evidence import _within_reach
+
+    sums = [(k, 10, None) for k in range(1000)]
+    assert _within_reach(sums, 25) == [(0, None), (1, 10), (2, 20)]
+    # negative costs can come back to the budget, within a range and from range to range
+    assert _within_reach([(0, 30, None), (1, None, None), (2, 5, -20), (3, -30, -30), (4, 99, None), (5, 0, -1)], 25) == [(0, None), (2, 30), (3, 35), (4, 5)]
